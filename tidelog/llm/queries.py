@@ -10,6 +10,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.substring import drop_repeats
+
+    return drop_repeats(documents(spark, sf_dir), keep_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelog.llm.tokens import token_counts
 
@@ -29,5 +35,5 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op6_token_counts, op8_quality_ledger, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op4_repeated_passages, op6_token_counts, op8_quality_ledger, op10_source_mix)}
 ORACLE_SQL: dict[str, str] = {}
