@@ -10,6 +10,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.neardup import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir), shingle=3, num=85, den=100)
+
+
 def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelog.llm.substring import drop_repeats
 
@@ -35,5 +41,5 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op4_repeated_passages, op6_token_counts, op8_quality_ledger, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op4_repeated_passages, op6_token_counts, op8_quality_ledger, op10_source_mix)}
 ORACLE_SQL: dict[str, str] = {}
