@@ -39,12 +39,12 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def byte_table(seed: int, lower: bool) -> np.ndarray:
-    """A random odd-spread value for each byte; 0 for the space bytes; A-Z as a-z if asked for."""
+def byte_table(seed: int, lower: bool, space: np.ndarray = IS_SPACE) -> np.ndarray:
+    """A random value for each byte; 0 for the space bytes; A-Z as a-z if asked for."""
     t = splitmix(256, seed)
     if lower:
         t = t[LOWER]
-    t[IS_SPACE] = 0
+    t[space] = 0
     return t
 
 
@@ -67,9 +67,9 @@ class Block:
     bytes: np.ndarray
     at: np.ndarray
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def words(self, space: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start and end of each word in bytes, and the number of words before each row (one more entry than rows)."""
-        solid = ~IS_SPACE[self.bytes]
+        solid = ~space[self.bytes]
         n = len(solid)
         if not n:
             z = np.zeros(0, np.int64)
@@ -90,8 +90,8 @@ class Block:
         ends = np.flatnonzero(last) + 1
         return starts, ends, np.searchsorted(starts, self.at).astype(np.int64)
 
-    def word_hashes(self, starts: np.ndarray, ends: np.ndarray, lower: bool = False, seed: int = 0) -> np.ndarray:
-        """A 64-bit hash of each word."""
+    def word_hashes(self, starts: np.ndarray, ends: np.ndarray, lower: bool = False, seed: int = 0, space: np.ndarray = IS_SPACE, prefix: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word, or of its first `prefix` bytes."""
         if not len(starts):
             return np.zeros(0, U64)
         gap = np.zeros(len(self.bytes), np.int64)
@@ -99,12 +99,16 @@ class Block:
         gap[starts[1:]] = np.diff(starts)
         place = np.arange(len(self.bytes), dtype=np.int64) - np.cumsum(gap)
         place[: starts[0]] = 0
-        table, power, widest = byte_table(0x51ED + seed, lower), POWERS[seed & 1], int((ends - starts).max())
+        table, power, widest = byte_table(0x51ED + seed, lower, space), POWERS[seed & 1], int((ends - starts).max())
         if widest >= len(power):
             power = powers(BASES[seed & 1], widest + 1)
         values = table[self.bytes]
         values *= power[np.minimum(place, widest)]
-        return mix(np.add.reduceat(values, starts) + (ends - starts).astype(U64))
+        size = ends - starts
+        if prefix:
+            values[place >= prefix] = 0
+            size = np.minimum(size, prefix)
+        return mix(np.add.reduceat(values, starts) + size.astype(U64))
 
 
 def blocks(column: pa.Array) -> Iterator[Block]:

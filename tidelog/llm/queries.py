@@ -28,6 +28,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), limit=1024)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.toxicity import toxicity
+
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.3)
+
+
 def op8_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelog.llm.quality import apply_policy, ledger
 
@@ -41,5 +47,5 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op4_repeated_passages, op6_token_counts, op8_quality_ledger, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op4_repeated_passages, op6_token_counts, op7_toxicity, op8_quality_ledger, op10_source_mix)}
 ORACLE_SQL: dict[str, str] = {}
