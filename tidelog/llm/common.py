@@ -20,9 +20,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder once and reads it back from there: lineage ends here and lost executors cost nothing."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Writes df to the shared folder once and reads it back from there: lineage ends here and lost executors cost nothing.
+
+    The shuffle files of what led here are not needed again and are dropped at once.
+    """
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    shared_folder(spark)
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(key, before)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
