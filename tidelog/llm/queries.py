@@ -22,6 +22,12 @@ def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeats(documents(spark, sf_dir), keep_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.licenses import license_scan
+
+    return license_scan(documents(spark, sf_dir), contained=0.8)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelog.llm.tokens import token_counts
 
@@ -41,11 +47,17 @@ def op8_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_policy(led, "v1").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.packing import pack
+
+    return pack(documents(spark, sf_dir), capacity=2048)
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelog.llm.mixing import mix
 
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op4_repeated_passages, op6_token_counts, op7_toxicity, op8_quality_ledger, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op4_repeated_passages, op5_license_scan, op6_token_counts, op7_toxicity, op8_quality_ledger, op9_best_fit_packing, op10_source_mix)}
 ORACLE_SQL: dict[str, str] = {}

@@ -17,6 +17,7 @@ from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,7 +98,7 @@ def encoder(vocabulary: str = VOCABULARY, ranks: str | None = RANKS) -> Encoder:
 
 def by_bytes(batch: pa.RecordBatch, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about `limit` bytes of text each, so that memory follows bytes and not rows."""
-    lengths = pa.compute.binary_length(batch.column("text")).to_pylist()
+    lengths = pc.binary_length(batch.column("text")).to_pylist()
     lo = size = 0
     for i, n in enumerate(lengths):
         if size and size + n > limit:
@@ -122,7 +123,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, ranks: str | Non
                 values = b.column("text").to_pylist()
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id"), pa.array([len(encode(x)) // 4 for x in values], pa.int64())], ["doc_id", "n_tokens"]
-                ).append_column("n_bytes", pa.compute.binary_length(b.column("text").cast(pa.large_binary())).cast(pa.int64()))
+                ).append_column("n_bytes", pc.binary_length(b.column("text").cast(pa.large_binary())).cast(pa.int64()))
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     out = rows.mapInArrow(count, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, n_bytes long")
