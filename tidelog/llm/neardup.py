@@ -8,10 +8,11 @@ probability of their similarity, with the concentration of independent draws.
 Links. Equal sets are one class. Classes that share a band are candidates; band count and width are derived from the
 threshold, so that a pair at the threshold is missed with a chance of at most MISS. In each bucket all members are
 verified against one hub (the member with most company), never against each other. What that leaves open, members of
-one hub's circle in different components, is settled by bounds: writing i for what a member shares with the hub and c
-for the elements outside the hub that two members share, their intersection is at most min(i, i') + c. So a link needs
-a shared element outside the hub (joined by element) or sizes small enough for c = 0 (joined by size range); only such
-pairs are verified. Every link between different components is found, and no bucket is ever expanded into its pairs.
+one hub's circle in different components, is settled by bounds: writing i for what a member shares with a consensus set
+and c for the elements outside it that two members share, their intersection is at most min(i, i') + c. So a link needs
+shared rare elements (joined by element, with a prefix filter) or sizes small enough for c = 0 (joined by size range);
+only such pairs are verified. Every link between different components that shares a band is found, and no bucket is
+ever expanded into its pairs.
 """
 
 from __future__ import annotations
@@ -133,28 +134,56 @@ def is_link(common, size_a, size_b, num: int, den: int):
     return den * common >= num * (size_a + size_b - common)
 
 
-def open_pairs(circles: DataFrame, num: int, den: int) -> DataFrame:
+def consensus(circles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, extras) of circles, seen from what a quarter of their members share instead of from their hub.
+
+    members: hub, node, label, s (set size), common (elements in the hub or in a quarter of the circle).
+    extras: hub, node, x, df for all other elements that at least two members have.
+    """
+    size = circles.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("hub", "_hub")
+    every = circles.select("hub", "node", F.explode("extra").alias("x"))
+    df = every.groupBy("hub", "x").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").join(size, F.col("hub") == F.col("_hub")).select(F.col("hub").alias("_h"), F.col("x").alias("_x"), "df", (4 * F.col("df") >= F.col("n")).alias("often"))
+    e = cut(every.join(df, (F.col("hub") == F.col("_h")) & (F.col("x") == F.col("_x"))).select("hub", "node", "x", "df", "often"))
+    more = e.filter("often").groupBy("hub", "node").agg(F.count(F.lit(1)).alias("more"))
+    members = circles.select("hub", "node", "label", "s", "common").join(more, ["hub", "node"], "left").withColumn("common", F.col("common") + F.coalesce("more", F.lit(0))).drop("more")
+    return cut(members), e.filter("not often").select("hub", "node", "x", "df")
+
+
+def in_several(members: DataFrame) -> DataFrame:
+    """Only circles with members in more than one component."""
+    mixed = members.groupBy("hub").agg(F.min("label").alias("_l"), F.max("label").alias("_m")).filter("_l != _m").select("hub")
+    return members.join(mixed, "hub", "left_semi")
+
+
+STEP = math.log(1.02)
+
+
+def open_pairs(members: DataFrame, extras: DataFrame, num: int, den: int) -> DataFrame:
     """(p, u) of members of one circle in different components that the bounds do not exclude.
 
-    circles: hub, node, label, s, common, extra of circles that have members in more than one component.
+    With o the intersection a link needs, two members share at least o - min(common, common') elements outside the
+    consensus. The poorer one (by common) needs k or more with partners of a size range; where k > 0, one of its
+    rarest extras, all but the last k - 1, is among the partner's (`by element`), where not, sizes decide (`by size`).
     """
-    enough = lambda c: (num + den) * c >= num * (F.col("s") + F.col("_s"))
-    # by a shared element outside the hub
-    e = cut(circles.select("hub", "node", "label", "s", "common", F.explode("extra").alias("x")))
-    e = e.join(e.groupBy("hub", "x").agg(F.min("label").alias("_l"), F.max("label").alias("_m")).filter("_l != _m").drop("_l", "_m"), ["hub", "x"])
-    f = e.select(*[F.col(c).alias(f"_{c}") for c in e.columns])
-    shared = e.join(f, (F.col("hub") == F.col("_hub")) & (F.col("x") == F.col("_x")) & (F.col("node") < F.col("_node")) & (F.col("label") != F.col("_label")) & (num * F.col("s") <= den * F.col("_s")) & (num * F.col("_s") <= den * F.col("s")))
-    shared = shared.groupBy("node", "_node", "hub").agg(F.count(F.lit(1)).alias("c"), F.first("s").alias("s"), F.first("_s").alias("_s"), F.first(F.least("common", "_common")).alias("i"))
-    shared = shared.filter(enough(F.col("i") + F.col("c"))).select(F.col("node").alias("p"), F.col("_node").alias("u"))
-    # by size: the larger one, node, names the sizes that the smaller one, _node, may have
-    step = math.log(1.02)
-    low, high = F.ceil(F.col("s") * num / den), F.least("s", F.floor(F.col("common") * (num + den) / num) - F.col("s"))
-    of = lambda v: F.floor(F.log(v.cast("double")) / step)
-    big = circles.select("hub", "node", "label", "s", "common").filter(high >= low).withColumn("bin", F.explode(F.sequence(of(low), of(high))))
-    small = circles.select(F.col("hub").alias("_hub"), F.col("node").alias("_node"), F.col("label").alias("_label"), F.col("s").alias("_s"), F.col("common").alias("_common"), of(F.col("s")).alias("_bin"))
-    ordered = (F.col("_s") < F.col("s")) | ((F.col("_s") == F.col("s")) & (F.col("_node") < F.col("node")))
-    sized = big.join(small.hint("shuffle_hash"), (F.col("hub") == F.col("_hub")) & (F.col("bin") == F.col("_bin")) & (F.col("label") != F.col("_label")) & ordered & enough(F.least("common", "_common")))
-    return shared.unionByName(sized.select(F.col("node").alias("p"), F.col("_node").alias("u"))).distinct()
+    o = lambda a, b: num * (a + b) / (num + den)
+    bin_of = lambda v: F.floor(F.log(v.cast("double")) / STEP)
+    low, high = F.ceil(F.col("s") * num / den), F.floor(F.col("s") * den / num)
+    members = members.withColumn("bin", bin_of(F.col("s")))
+    ranged = members.withColumn("_bin", F.explode(F.sequence(bin_of(F.greatest(low, F.lit(1))), bin_of(high))))
+    need = F.ceil(o(F.col("s"), F.exp(F.col("_bin") * STEP) - 1e-6) - 1e-6) - F.col("common")
+    ranged = ranged.withColumn("k", need).drop("bin")
+    own = Window.partitionBy("hub", "node")  # one document's elements
+    e = extras.withColumn("r", F.row_number().over(own.orderBy("df", "x"))).withColumn("m", F.count(F.lit(1)).over(own))
+    poor = ranged.filter("k > 0").join(e, ["hub", "node"]).filter("r <= m - k + 1").select("hub", "x", "_bin", "node", "label", "common", "s")
+    rich = members.join(extras, ["hub", "node"]).select(F.col("hub").alias("_hub"), F.col("x").alias("_x"), F.col("bin").alias("_b"), F.col("node").alias("_node"), F.col("label").alias("_label"), F.col("common").alias("_common"), F.col("s").alias("_s"))
+    poorer = (F.col("common") < F.col("_common")) | ((F.col("common") == F.col("_common")) & (F.col("node") < F.col("_node")))
+    fits = (F.col("label") != F.col("_label")) & poorer & (num * F.col("s") <= den * F.col("_s")) & (num * F.col("_s") <= den * F.col("s"))
+    by_element = poor.join(rich.hint("merge"), (F.col("hub") == F.col("_hub")) & (F.col("x") == F.col("_x")) & (F.col("_bin") == F.col("_b")) & fits)
+    sizes = members.select(F.col("hub").alias("_hub"), F.col("node").alias("_node"), F.col("label").alias("_label"), F.col("s").alias("_s"), F.col("common").alias("_common"), F.col("bin").alias("_b"))
+    enough = (num + den) * F.col("common") >= num * (F.col("s") + F.col("_s"))
+    by_size = ranged.filter("k <= 0").join(sizes.hint("merge"), (F.col("hub") == F.col("_hub")) & (F.col("_bin") == F.col("_b")) & fits & enough)
+    pair = [F.col("node").alias("p"), F.col("_node").alias("u")]
+    return by_element.select(*pair).unionByName(by_size.select(*pair)).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -172,28 +201,39 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     made = cut(sketch_rows(source, shingle, bands, rows))
     classes = cut(made.filter("node is not null").groupBy("node").agg(F.min("id").alias("root"), F.first("bands").alias("bands")))
 
-    buckets = classes.select("node", F.explode("bands").alias("key"))
-    buckets = cut(buckets.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1"))
-    score = buckets.groupBy("node").agg(F.sum("n").alias("score"))
-    scored = buckets.join(score, "node")
-    top = Window.partitionBy("key").orderBy(F.desc("score"), "node").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    stars = cut(scored.withColumn("p", F.first("node").over(top)).filter("p != node").select("p", F.col("node").alias("u")).distinct())
+    keyed = classes.select("node", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    buckets = cut(keyed.join(shared, "key"))
+    score = cut(buckets.groupBy("node").agg(F.sum("n").alias("score")))
+    scored = buckets.select("node", "key").join(score, "node")
+    hubs = scored.groupBy("key").agg(F.max_by("node", F.struct("score", "node")).alias("p"))
+    stars = cut(buckets.select("key", F.col("node").alias("u")).join(hubs, "key").filter("p != u").select("p", "u").distinct())
 
     involved = classes.select("node", "root").join(score.select("node"), "node", "left_semi")
     wanted = source.join(involved.select(F.col("root").alias("id")).distinct().hint("merge"), "id", "left_semi")
     sets = set_rows(wanted, shingle).join(involved.select("node").hint("merge"), "node", "left_semi").dropDuplicates(["node"])
     sets = cut(sets)
 
+    def linked(pairs: DataFrame) -> DataFrame:
+        return pairs.filter(is_link(F.col("common"), F.col("s_p"), F.col("s_u"), num, den)).select(F.col("p").alias("a"), F.col("u").alias("b"))
+
+    def joined(found: DataFrame, more: DataFrame) -> DataFrame:
+        more = cut(more)
+        return cut(components(found.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))) if more.limit(1).count() else found
+
+    def labelled(members: DataFrame, found: DataFrame) -> DataFrame:
+        return cut(in_several(cut(members.join(found.withColumnsRenamed({"node": "_n", "label": "_l"}), F.col("node") == F.col("_n"), "left").withColumn("label", F.coalesce("_l", "node")).drop("_n", "_l"))))
+
     first = cut(overlaps(stars, sets))
-    links = first.filter(is_link(F.col("common"), F.col("s_p"), F.col("s_u"), num, den)).select(F.col("p").alias("a"), F.col("u").alias("b"))
-    found = cut(components(links))
-    labelled = first.join(found.withColumnRenamed("node", "u"), "u", "left").select(F.col("p").alias("hub"), F.col("u").alias("node"), F.coalesce("label", "u").alias("label"), F.col("s_u").alias("s"), "common", "extra")
-    mixed = labelled.groupBy("hub").agg(F.min("label").alias("_l"), F.max("label").alias("_m")).filter("_l != _m").select("hub")
-    rest = cut(open_pairs(cut(labelled.join(mixed, "hub", "left_semi")), num, den))
-    late = overlaps(rest, sets).filter(is_link(F.col("common"), F.col("s_p"), F.col("s_u"), num, den)).select(F.col("p").alias("a"), F.col("u").alias("b"))
-    late = cut(late)
-    if late.limit(1).count():
-        found = cut(components(found.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(late)))
+    found = cut(components(linked(first)))
+    circles = labelled(first.select(F.col("p").alias("hub"), F.col("u").alias("node"), F.col("s_u").alias("s"), "common", "extra"), found)
+    members, extras = consensus(circles)
+    # the member nearest to the consensus is a second hub of its circle
+    best = members.groupBy("hub").agg(F.max_by(F.struct("node", "label"), F.struct("common", -F.col("s"), "node")).alias("best")).select(F.col("hub").alias("_hub"), F.col("best.node").alias("p"), F.col("best.label").alias("_label"))
+    again = members.join(best, (F.col("hub") == F.col("_hub")) & (F.col("label") != F.col("_label"))).select("p", F.col("node").alias("u")).distinct()
+    found = joined(found, linked(overlaps(again, sets)))
+    rest = cut(open_pairs(labelled(members.drop("label"), found), extras, num, den))
+    found = joined(found, linked(overlaps(rest, sets)))
 
     named = classes.select("node", "root").join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("root").alias("component"))

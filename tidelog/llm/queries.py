@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,6 +16,20 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), shingle=3, num=85, den=100)
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.pii import KINDS, find_pii, joined, train
+
+    docs = documents(spark, sf_dir)
+    base = F.filter("spans", lambda s: s["base"])
+    found = find_pii(docs, train(docs)).withColumn("base", base)
+    counts = [number_of(k).alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def number_of(kind: str) -> Column:
+    return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+
 def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelog.llm.substring import drop_repeats
 
@@ -59,5 +73,5 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op4_repeated_passages, op5_license_scan, op6_token_counts, op7_toxicity, op8_quality_ledger, op9_best_fit_packing, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op3_personal_data, op4_repeated_passages, op5_license_scan, op6_token_counts, op7_toxicity, op8_quality_ledger, op9_best_fit_packing, op10_source_mix)}
 ORACLE_SQL: dict[str, str] = {}
