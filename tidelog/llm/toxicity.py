@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm import kernel
-from tidelog.llm.common import small_batches, texts
+from tidelog.llm.common import cut, small_batches, texts
 
 #: Rows of each label in training, features kept, buckets of the feature hash.
 SAMPLE, FEATURES, BUCKETS = (3000, 6000), 20_000, 1 << 20
@@ -131,19 +131,39 @@ class Sparse:
         return np.bincount(self.col, self.val * g[self.row], self.shape[1])
 
 
-def fit(ids, values, delta_ids, deltas, toxic: np.ndarray, shares: tuple[float, float]) -> Model:
+def telling(made: DataFrame, n0: int, n1: int) -> np.ndarray:
+    """The features that tell the labels apart, at most FEATURES of them, counted where the sample lies."""
+    seen = made.select("toxic", F.explode("ids").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("n1")).filter("n >= 4")
+    odds = F.log((F.col("n1") + 0.5) / (n1 + 1)) - F.log((F.col("n") - F.col("n1") + 0.5) / (n0 + 1))
+    worth = F.abs(odds) * F.sqrt("n")  # rare features need clear evidence
+    rows = seen.select("id", worth.alias("worth")).filter("worth > 3").orderBy(F.desc("worth"), "id").limit(FEATURES).collect()
+    return np.sort(np.array([x["id"] for x in rows], np.int64))
+
+
+def narrowed(keep: np.ndarray):
+    """Rows of the sample with the features in `keep` alone."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for ids, values in (("ids", "vals"), ("delta_ids", "delta")):
+                some_ids, some_values = [], []
+                for i, v in zip(b.column(ids), b.column(values), strict=True):
+                    i, v = i.values.to_numpy(zero_copy_only=False), v.values.to_numpy(zero_copy_only=False)
+                    ok = np.isin(i, keep)
+                    some_ids.append(i[ok])
+                    some_values.append(v[ok])
+                out += [pa.array(some_ids, pa.list_(pa.int32())), pa.array(some_values, pa.list_(pa.float32()))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *out, b.column("toxic")], ["doc_id", "ids", "vals", "delta_ids", "delta", "toxic"])
+
+    return run
+
+
+def fit(keep, ids, values, delta_ids, deltas, toxic: np.ndarray, shares: tuple[float, float]) -> Model:
     """shares: how many labelled rows one sampled row of label 0 and 1 stands for."""
-    n1, n0 = max(int(toxic.sum()), 0), int((1 - toxic).sum())
+    n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
     if not n1 or not n0:  # nothing to tell apart
-        return Model(np.zeros(0, np.int64), np.zeros(0), -4.0 if n0 or not n1 else 4.0)
-    flat, label = np.concatenate(ids), np.repeat(toxic, [len(i) for i in ids])
-    with_1, with_0 = (np.bincount(flat[label == c], minlength=BUCKETS) for c in (1, 0))
-    odds = np.log((with_1 + 0.5) / (n1 + 1)) - np.log((with_0 + 0.5) / (n0 + 1))
-    odds[with_1 + with_0 < 4] = 0
-    # evidence: how surprising the split is, so that rare features need clear ones
-    worth = np.abs(odds) * np.sqrt(with_1 + with_0)
-    keep = np.sort(np.argsort(-worth, kind="stable")[:FEATURES])
-    keep = keep[worth[keep] > 3]
+        return Model(np.zeros(0, np.int64), np.zeros(0), 4.0 if n1 else -4.0)
     x, d = Sparse(ids, values, keep), Sparse(delta_ids, deltas, keep)
     weight = np.where(toxic == 1, shares[1], shares[0])
     weight = weight / weight.sum() * len(toxic)
@@ -177,12 +197,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE)
     # at most sum(sample) rows of two numbers each are broadcast, and as many feature lists come to the driver
     text = texts(docs).join(F.broadcast(picked), "doc_id")
     kind = text.schema["doc_id"].dataType.simpleString()
-    made = text.mapInArrow(sample_rows, f"doc_id {kind}, ids array<int>, vals array<float>, delta_ids array<int>, delta array<float>, toxic int").toArrow()
-    made = made.sort_by("doc_id")
-    column = lambda c: [x.values.to_numpy() for x in made.column(c)]
+    schema = f"doc_id {kind}, ids array<int>, vals array<float>, delta_ids array<int>, delta array<float>, toxic int"
+    made = cut(text.mapInArrow(sample_rows, schema))
+    n = {x["toxic"]: x["n"] for x in made.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    keep = telling(made, n.get(0, 0), n.get(1, 0))
+    made = made.mapInArrow(narrowed(keep), schema).toArrow().sort_by("doc_id")
+    column = lambda c: [x.values.to_numpy(zero_copy_only=False) for x in made.column(c)]
     toxic = made.column("toxic").to_numpy().astype(int)
     shares = tuple(counts.get(c, 0) / max(1, int((toxic == c).sum())) for c in (0, 1))
-    return fit(column("ids"), column("vals"), column("delta_ids"), column("delta"), toxic, shares)
+    return fit(keep, column("ids"), column("vals"), column("delta_ids"), column("delta"), toxic, shares)
 
 
 def score(docs: DataFrame, model: Model, *more: str) -> DataFrame:
