@@ -16,6 +16,12 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), shingle=3, num=85, den=100)
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.fingerprint import fingerprint_edits
+
+    return fingerprint_edits(documents(spark, sf_dir))
+
+
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelog.llm.pii import KINDS, find_pii, joined, train
 
@@ -73,5 +79,5 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op3_personal_data, op4_repeated_passages, op5_license_scan, op6_token_counts, op7_toxicity, op8_quality_ledger, op9_best_fit_packing, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_fingerprints, op3_personal_data, op4_repeated_passages, op5_license_scan, op6_token_counts, op7_toxicity, op8_quality_ledger, op9_best_fit_packing, op10_source_mix)}
 ORACLE_SQL: dict[str, str] = {}
