@@ -211,7 +211,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE)
 def score(docs: DataFrame, model: Model, *more: str) -> DataFrame:
     """One row for each row of `docs`: doc_id, score (0 to 1), and the columns named in `more`.
 
-    Null texts count as empty and get the score of a text without words; null doc_ids and repeated rows stay.
+    Null texts get the score of a text without words and stay null; null doc_ids and repeated rows stay.
     """
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most FEATURES weights
@@ -231,7 +231,7 @@ def score(docs: DataFrame, model: Model, *more: str) -> DataFrame:
             value = pa.array(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("doc_id", *more)], value], ["doc_id", *more, "score"])
 
-    rows = texts(docs, *[c for c in more if c != "text"])
+    rows = docs.select("doc_id", "text", *[c for c in more if c != "text"])
     made = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in ("doc_id", *more))
     return rows.mapInArrow(run, f"{made}, score double")
 
