@@ -1 +1 @@
-
+"""Column functions: routing, names and patterns, values."""
