@@ -140,6 +140,8 @@ LEFT JOIN (SELECT o_orderpriority AS topic, o_custkey % 7 AS partition, count(*)
     "catalog_latest_entity": "SELECT user_id, event_id AS seq, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1 AND event_type <> 'error'",
     "config_effective_merge": """SELECT c_custkey, concat_ws(',', CASE WHEN p <> '' THEN concat('cleanup.policy=', p) END, concat('retention.ms=', r), CASE WHEN c_custkey % 2 = 1 THEN 'segment.bytes=9' END) AS config
 FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'compact' ELSE '' END AS p, CASE WHEN c_custkey % 2 = 0 THEN '5' WHEN c_custkey % 5 = 0 THEN '604800000' ELSE cast(c_custkey AS varchar) END AS r FROM customer) c""",
+    "segment_codec_round_trip": "SELECT topic, partition, log_offset, ts_ms, key, value FROM vlog",
+    "stream_dedup": "SELECT event_id, user_id FROM events",
     "replica_failover": "SELECT topic, partition, CASE WHEN 1 + partition % 3 = 1 THEN 2 ELSE 1 + partition % 3 END::BIGINT AS new_leader, CASE WHEN 1 + partition % 3 = 3 THEN '2,3' ELSE '2' END AS new_isr FROM vends",
     "election_tally": "SELECT event_id % 200 AS term, user_id % 2 AS candidate, count(DISTINCT user_id % 9) AS votes FROM events WHERE event_type <> 'error' GROUP BY ALL HAVING count(DISTINCT user_id % 9) >= 5",
 }

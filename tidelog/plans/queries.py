@@ -467,3 +467,57 @@ def election_tally(spark, folder):
     e = table(spark, folder, "events")
     votes = e.select((F.col("event_id") % 200).alias("term"), (F.col("user_id") % 2).alias("candidate"), (F.col("user_id") % 9).alias("voter"), (F.col("event_type") != "error").alias("granted"))
     return replication.elected(votes, 9)
+
+
+# segment files and streams
+
+
+@query
+def segment_codec_round_trip(spark, folder):
+    from tidelog.sources.segment import decode_batches, encode_batches
+
+    records = decode_batches(encode_batches(v.log(spark, folder), 1000, "lz4"))
+    return records.select(*TP, "log_offset", "ts_ms", F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+
+
+@query
+def stream_dedup(spark, folder):
+    from tidelog.streaming import follow as s
+
+    e = s.follow(spark, folder, "events").select("event_id", "user_id", "ts")
+    return s.drain(s.without_repeats(e.union(e.filter("event_id % 10 = 0")), ["event_id"])).select("event_id", "user_id")
+
+
+@query
+def stream_session(spark, folder):
+    from tidelog.streaming import follow as s
+
+    return s.drain(s.sessions(s.follow(spark, folder, "events"), ["user_id"]))
+
+
+@query
+def stream_tumbling(spark, folder):
+    from tidelog.streaming import follow as s
+
+    return s.drain(s.tumbling(s.follow(spark, folder, "events"), ["event_type"]))
+
+
+@query
+def stream_idempotent(spark, folder):
+    from tidelog.streaming import follow as s
+    from tidelog.streaming.state import idempotent
+
+    e = s.follow(spark, folder, "events").select(F.col("user_id").alias("producer_id"), F.lit(0).cast("long").alias("epoch"), F.col("event_id").alias("base_sequence"), F.col("event_id").alias("arrival"), F.lit(1).cast("long").alias("n_records"))
+    again = e.filter("base_sequence % 10 = 0").withColumn("arrival", F.col("arrival") + 5)
+    return s.drain(idempotent(e.union(again)))
+
+
+@query
+def stream_share_leases(spark, folder):
+    from tidelog.streaming import follow as s
+    from tidelog.streaming.state import leases
+
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("acquire", "accept", "acquire", "release", "renew", "acquire", "reject", "yield")]), (F.col("event_id") % 8 + 1).cast("int"))
+    e = s.follow(spark, folder, "events")
+    actions = e.select((F.col("event_id") % 40).alias("range_id"), F.col("event_id").alias("seq"), kind.alias("action"), F.concat(F.lit("m"), (F.col("user_id") % 3).cast("string")).alias("member_id"), F.unix_millis("ts").alias("at_ms"))
+    return s.drain(leases(actions, lock_ms=7_200_000))
