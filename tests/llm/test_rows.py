@@ -113,7 +113,10 @@ def test_mix_meets_targets_and_agrees(spark, sf):
         assert x["source_size"] == by[x["source"]] and x["target"] == pytest.approx(want[x["source"]])
     for s in by:
         assert abs(taken[s] - want[s]) <= 0.03 * want[s] + 256
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
     assert sorted(map(tuple, mix(df.repartition(3)).collect())) == sorted(map(tuple, out))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def test_mix_odd_rows(spark):

@@ -51,15 +51,15 @@ def tasks_for(spark: SparkSession, least: int = 1) -> int:
 def ranked(df: DataFrame, keys: list[str], order: Column, name: str, seed: int = 0, salts: int | None = None) -> DataFrame:
     """Adds `name`: 0, 1, ... within each key by a pseudorandom order, without bringing a key together in one task.
 
-    A row's place is (leading bits of a hash of `order`, the hash, order). Rows are numbered within (key, leading bits)
-    and moved by the number of rows of smaller leading bits, so a key with a third of all rows is spread over `salts`
-    tasks. Equal `order` values get different, arbitrary numbers.
+    The order is that of an unsigned hash of `order`. Rows are numbered within (key, leading bits of the hash) and moved
+    by the number of rows with smaller leading bits, so a key with a third of all rows is spread over at least `salts`
+    tasks, and the numbers don't depend on how many. Equal `order` values get different, arbitrary numbers.
     """
     from pyspark.sql import Window
 
-    salts = salts or tasks_for(df.sparkSession)
+    bits = max(1, ((salts or tasks_for(df.sparkSession)) - 1).bit_length())
     mixed = F.xxhash64(F.lit(seed), order, *keys)
-    df = df.withColumn("_h", mixed).withColumn("_salt", F.pmod(F.shiftrightunsigned("_h", 40), F.lit(salts)).cast("int"))
+    df = df.withColumn("_h", mixed).withColumn("_salt", F.shiftrightunsigned("_h", 64 - bits))
     sizes = df.groupBy(*keys, "_salt").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*keys).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
