@@ -210,8 +210,12 @@ def fingerprint_edits(docs: DataFrame, runs: int | None = None) -> DataFrame:
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def emit(pairs):
-        """pairs: (id, text, the next document's text); the next one's tree is made again only where it is no row here."""
-        own, new, after = (trees([f(p) for p in pairs]) for f in (lambda p: p[1], lambda p: edited(p[1], p[2]), lambda p: p[2]))
+        """pairs: (id, text, the next document's text), mostly the text of the next pair, whose tree then serves twice."""
+        own, new = trees([p[1] for p in pairs]), trees([edited(p[1], p[2]) for p in pairs])
+        after = own[1:] + [None]
+        other = [k for k, p in enumerate(pairs) if k + 1 == len(pairs) or pairs[k + 1][1] is not p[2]]
+        for k, t in zip(other, trees([pairs[k][2] for k in other]), strict=True):
+            after[k] = t
         shas = [hashlib.sha256(edited(p[1], p[2]).encode()).hexdigest() for p in pairs]
         columns = [
             pa.array([None if p[0] == no_id else p[0] for p in pairs], pa.int64()),
