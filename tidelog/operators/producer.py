@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.operators.ranking import running_max
+
 VERDICTS = ("accepted", "duplicate", "out_of_order", "fenced")
 
 
@@ -15,8 +17,8 @@ def exact_retries_dropped(attempts: DataFrame) -> DataFrame:
 
 def sequence_gaps(attempts: DataFrame) -> DataFrame:
     """Distinct sequences that don't follow the one before: (producer_id, base_sequence, previous)."""
-    w = Window.partitionBy("producer_id").orderBy("base_sequence")
-    x = attempts.select("producer_id", "base_sequence").distinct().withColumn("previous", F.lag("base_sequence").over(w))
+    x = attempts.select("producer_id", "base_sequence").distinct()
+    x = running_max(x, ["producer_id"], "base_sequence", "base_sequence", "previous", include=False)
     return x.filter("previous is not null and base_sequence <> previous + 1")
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.operators.log import TP
+from tidelog.operators.ranking import sequence_numbers
 
 MOST_DELIVERIES = 5
 SPAN = 64
@@ -66,9 +67,8 @@ def coalesce_acks(acks: DataFrame) -> DataFrame:
     rows = acks.select(*TP, "ack_type", "log_offset").distinct()
     near = lambda d: rows.select(*TP, "ack_type", (F.col("log_offset") + d).alias("log_offset"))
     by = [*TP, "ack_type", "log_offset"]
-    w = Window.partitionBy(*TP, "ack_type").orderBy("log_offset")
-    first = rows.join(near(1), by, "left_anti").withColumn("n", F.row_number().over(w)).withColumnRenamed("log_offset", "first_offset")
-    last = rows.join(near(-1), by, "left_anti").withColumn("n", F.row_number().over(w)).withColumnRenamed("log_offset", "last_offset")
+    edge = lambda d: sequence_numbers(rows.join(near(d), by, "left_anti"), [*TP, "ack_type"], "log_offset", "n")
+    first, last = edge(1).withColumnRenamed("log_offset", "first_offset"), edge(-1).withColumnRenamed("log_offset", "last_offset")
     return first.join(last, [*TP, "ack_type", "n"]).drop("n")
 
 
