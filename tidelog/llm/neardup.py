@@ -169,7 +169,10 @@ def open_pairs(members: DataFrame, extras: DataFrame, num: int, den: int) -> Dat
     bin_of = lambda v: F.floor(F.log(v.cast("double")) / STEP)
     low, high = F.ceil(F.col("s") * num / den), F.floor(F.col("s") * den / num)
     members = members.withColumn("bin", bin_of(F.col("s")))
-    ranged = members.withColumn("_bin", F.explode(F.sequence(bin_of(F.greatest(low, F.lit(1))), bin_of(high))))
+    # the circle's size bins (a few hundred at most, as sizes go) with their labels: only those matter where another component is
+    there = members.groupBy("hub", "bin").agg(F.min("label").alias("l"), F.max("label").alias("m")).groupBy("hub").agg(F.collect_list(F.struct("bin", "l", "m")).alias("bins"))
+    near = lambda b: (b["bin"] >= bin_of(F.greatest(low, F.lit(1)))) & (b["bin"] <= bin_of(high)) & ((b["l"] != F.col("label")) | (b["m"] != F.col("label")))
+    ranged = members.join(there.hint("merge"), "hub").withColumn("_bin", F.explode(F.transform(F.filter("bins", near), lambda b: b["bin"]))).drop("bins")
     need = F.ceil(o(F.col("s"), F.exp(F.col("_bin") * STEP) - 1e-6) - 1e-6) - F.col("common")
     ranged = ranged.withColumn("k", need).drop("bin")
     own = Window.partitionBy("hub", "node")  # one document's elements
