@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ from tidelog.llm.common import cut, small_batches, texts
 
 #: Rows of each label in training, features kept, buckets of the feature hash.
 SAMPLE, FEATURES, BUCKETS = (3000, 6000), 20_000, 1 << 20
+#: Entries of the sample's matrix multiplied at a time.
+ENTRIES = 1 << 18
 #: Bytes of the word beginnings that are features beside the word itself.
 PREFIXES = (4, 5, 6, 8)
 THRESHOLD, RIDGE, FAIRNESS = 0.3, 1.0, 4.0
@@ -115,20 +118,25 @@ class Model:
 
 
 class Sparse:
-    """Rows of (ids, values) as a matrix over the columns of `keep`."""
+    """Rows of (ids, values), two list columns, as a matrix over the columns of `keep`, which holds all ids.
 
-    def __init__(self, ids: list[np.ndarray], values: list[np.ndarray], keep: np.ndarray):
-        row = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
-        col, val = np.concatenate([*ids, np.zeros(0, np.int32)]), np.concatenate([*values, np.zeros(0, np.float32)])
-        at = np.minimum(np.searchsorted(keep, col), max(len(keep) - 1, 0))
-        ok = keep[at] == col if len(keep) else np.zeros(len(col), bool)
-        self.row, self.col, self.val, self.shape = row[ok], at[ok], val[ok].astype(float), (len(ids), len(keep))
+    Entries take twelve bytes and are multiplied a block at a time, so that the driver holds them once.
+    """
+
+    def __init__(self, ids: pa.ChunkedArray, values: pa.ChunkedArray, keep: np.ndarray):
+        n = pc.list_value_length(ids).to_numpy()
+        self.row = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        self.col = np.searchsorted(keep.astype(np.int32), pc.list_flatten(ids).to_numpy()).astype(np.int32)
+        self.val, self.shape = pc.list_flatten(values).to_numpy(), (len(n), len(keep))
+
+    def blocks(self):
+        return (slice(lo, lo + ENTRIES) for lo in range(0, len(self.col), ENTRIES))
 
     def dot(self, w):
-        return np.bincount(self.row, self.val * w[self.col], self.shape[0])
+        return sum((np.bincount(self.row[p], self.val[p] * w[self.col[p]], self.shape[0]) for p in self.blocks()), np.zeros(self.shape[0]))
 
     def back(self, g):
-        return np.bincount(self.col, self.val * g[self.row], self.shape[1])
+        return sum((np.bincount(self.col[p], self.val[p] * g[self.row[p]], self.shape[1]) for p in self.blocks()), np.zeros(self.shape[1]))
 
 
 def telling(made: DataFrame, n0: int, n1: int) -> np.ndarray:
@@ -159,12 +167,12 @@ def narrowed(keep: np.ndarray):
     return run
 
 
-def fit(keep, ids, values, delta_ids, deltas, toxic: np.ndarray, shares: tuple[float, float]) -> Model:
-    """shares: how many labelled rows one sampled row of label 0 and 1 stands for."""
+def fit(keep: np.ndarray, x: Sparse, d: Sparse, toxic: np.ndarray, shares: tuple[float, float]) -> Model:
+    """x: the sample's features, d: their change in the counterfactuals, shares: how many labelled rows one sampled row
+    of label 0 and 1 stands for."""
     n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
     if not n1 or not n0:  # nothing to tell apart
         return Model(np.zeros(0, np.int64), np.zeros(0), 4.0 if n1 else -4.0)
-    x, d = Sparse(ids, values, keep), Sparse(delta_ids, deltas, keep)
     weight = np.where(toxic == 1, shares[1], shares[0])
     weight = weight / weight.sum() * len(toxic)
     w, bias = np.zeros(len(keep)), float(np.log((weight * toxic).sum() / (weight * (1 - toxic)).sum()))
@@ -202,10 +210,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE)
     n = {x["toxic"]: x["n"] for x in made.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     keep = telling(made, n.get(0, 0), n.get(1, 0))
     made = made.mapInArrow(narrowed(keep), schema).toArrow().sort_by("doc_id")
-    column = lambda c: [x.values.to_numpy(zero_copy_only=False) for x in made.column(c)]
     toxic = made.column("toxic").to_numpy().astype(int)
     shares = tuple(counts.get(c, 0) / max(1, int((toxic == c).sum())) for c in (0, 1))
-    return fit(keep, column("ids"), column("vals"), column("delta_ids"), column("delta"), toxic, shares)
+    x, d = (Sparse(made.column(a), made.column(b), keep) for a, b in (("ids", "vals"), ("delta_ids", "delta")))
+    del made
+    return fit(keep, x, d, toxic, shares)
 
 
 def score(docs: DataFrame, model: Model, *more: str) -> DataFrame:
