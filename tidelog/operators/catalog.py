@@ -41,6 +41,11 @@ def unassigned(topics: DataFrame, assignments: DataFrame) -> DataFrame:
     return every.join(assignments, ["topic", "partition"], "left_anti")
 
 
+def undiscovered(peers: DataFrame, registered: DataFrame) -> DataFrame:
+    """Configured peers (node) that no broker has registered as."""
+    return peers.join(registered, "node", "left_anti")
+
+
 def merged_config(stored: Column, upserts: Column, deletes: Column) -> Column:
     """Deletes first, then upserts, so a key in both is set."""
     rest = F.map_filter(stored, lambda k, v: ~F.array_contains(deletes, k) & ~F.array_contains(F.map_keys(upserts), k))
@@ -82,5 +87,3 @@ def list_rules(rules: DataFrame, **wanted: str | None) -> DataFrame:
 def eviction_order(producers: DataFrame, open_: DataFrame, k: int) -> DataFrame:
     """The k producers least recently used that have no open transaction (a limit is the feature)."""
     return producers.join(open_, "producer_id", "left_anti").orderBy("last_used", "producer_id").limit(k)
-
-

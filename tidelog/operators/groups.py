@@ -26,6 +26,13 @@ def evictions(members: DataFrame, now_ms: int, max_poll_ms: int) -> DataFrame:
     return members.withColumn("reason", reason).filter("reason is not null")
 
 
+def with_progress(members: DataFrame, fetches: DataFrame) -> DataFrame:
+    """Members after fetches (group_no, member_id, at_ms): a fetch moves a member's progress forward, never back."""
+    last = fetches.groupBy("group_no", "member_id").agg(F.max("at_ms").alias("_at"))
+    x = members.join(last, ["group_no", "member_id"], "left")
+    return x.withColumn("last_progress_ms", F.greatest("last_progress_ms", "_at")).drop("_at")
+
+
 def recent_evictions(evicted: DataFrame, n: int = 20) -> DataFrame:
     """The last n of each group, by heartbeat (a limit is the feature)."""
     w = Window.partitionBy("group_no").orderBy(F.desc("last_heartbeat_ms"), "member_id")

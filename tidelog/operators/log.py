@@ -88,6 +88,17 @@ def classify_appends(batches: DataFrame, arrival: str) -> DataFrame:
     return x.withColumn("verdict", verdict).drop("_end")
 
 
+def append_markers(transactions: DataFrame, ends: DataFrame) -> DataFrame:
+    """A control record at the end of the log for each transaction that is over, in the order of txn_seq."""
+    over = transactions.filter(F.col("status").isin("Committed", "Aborted")).select(*TP, "txn_seq", F.when(F.col("status") == "Committed", "commit").otherwise("abort").alias("marker"))
+    return append(over, "txn_seq", ends).withColumn("is_control", F.lit(True))
+
+
+def oversized(batches: DataFrame, most: int) -> DataFrame:
+    """Batches above the largest message size, which are rejected."""
+    return batches.filter(F.col("size_bytes") > most)
+
+
 def keyless_batches(batches: DataFrame, records: DataFrame, of: int) -> DataFrame:
     """Batches a compacted topic rejects: those with any record without a key."""
     bad = records.filter("key is null or key = ''").select(*TP, F.floor(F.col("log_offset") / of).alias("batch_no")).distinct()

@@ -69,9 +69,15 @@ def fenced(requests: DataFrame) -> DataFrame:
 
 
 def latest_status(changes: DataFrame) -> DataFrame:
-    """Each transaction's status: its last change that is allowed, since a prepared decision stays."""
-    last = changes.groupBy("transaction_id").agg(F.max_by("status", "seq").alias("status"), F.max("seq").alias("seq"))
-    return last
+    """Each transaction's status: its last change that is allowed. The first decision, prepared or final, stays: later
+    changes that are undecided or decide otherwise are refused."""
+    kind = F.when(F.col("status").isin("PrepareCommit", "Committed"), "commit").when(F.col("status").isin("PrepareAbort", "Aborted"), "abort").otherwise("open")
+    x = changes.withColumn("_kind", kind)
+    last = lambda k: F.max(F.when(F.col("_kind") == k, F.struct("seq", "status"))).alias(k)
+    decided = F.min(F.when(F.col("_kind") != "open", F.struct("seq", "_kind")))["_kind"]
+    x = x.groupBy("transaction_id").agg(decided.alias("_decided"), last("commit"), last("abort"), last("open"))
+    kept = F.when(F.col("_decided") == "commit", F.col("commit")).when(F.col("_decided") == "abort", F.col("abort")).otherwise(F.col("open"))
+    return x.select("transaction_id", kept["status"].alias("status"), kept["seq"].alias("seq"))
 
 
 def timeout_actions(transactions: DataFrame, now_ms: int, timeout_ms: int) -> DataFrame:
@@ -79,5 +85,3 @@ def timeout_actions(transactions: DataFrame, now_ms: int, timeout_ms: int) -> Da
     late = transactions.filter(F.lit(now_ms) - F.col("created_at_ms") > timeout_ms)
     action = F.when(F.col("status").isin("Ongoing", "PrepareAbort"), "abort").when(F.col("status") == "PrepareCommit", "commit")
     return late.withColumn("action", action).filter("action is not null")
-
-

@@ -144,6 +144,31 @@ FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'compact' ELSE '' END A
     "stream_dedup": "SELECT event_id, user_id FROM events",
     "replica_failover": "SELECT topic, partition, CASE WHEN 1 + partition % 3 = 1 THEN 2 ELSE 1 + partition % 3 END::BIGINT AS new_leader, CASE WHEN 1 + partition % 3 = 3 THEN '2,3' ELSE '2' END AS new_isr FROM vends",
     "election_tally": "SELECT event_id % 200 AS term, user_id % 2 AS candidate, count(DISTINCT user_id % 9) AS votes FROM events WHERE event_type <> 'error' GROUP BY ALL HAVING count(DISTINCT user_id % 9) >= 5",
+    "txn_decision_kept": """WITH c AS (SELECT transaction_id, status, seq FROM changes UNION ALL SELECT transaction_id, 'PrepareAbort', seq + 5 FROM changes WHERE status = 'Ongoing' AND txn_seq % 5 = 2),
+k AS (SELECT *, CASE WHEN status IN ('PrepareCommit', 'Committed') THEN 'commit' WHEN status IN ('PrepareAbort', 'Aborted') THEN 'abort' END AS kind FROM c),
+f AS (SELECT transaction_id, min_by(kind, seq) AS decided FROM k WHERE kind IS NOT NULL GROUP BY transaction_id)
+SELECT transaction_id, max_by(status, seq) AS status, max(seq) AS seq FROM k LEFT JOIN f USING (transaction_id) WHERE decided IS NULL OR kind = decided GROUP BY transaction_id""",
+    "group_fetch_progress": f"""SELECT m.group_no, m.member_id, greatest(m.last_progress_ms, f.at_ms) AS last_progress_ms FROM vmembers m
+LEFT JOIN (SELECT user_id, max({MS.format(x="ts")}) AS at_ms FROM events WHERE event_type = 'purchase' GROUP BY user_id) f ON f.user_id = m.member_id""",
+    "log_replication_fetch": "SELECT topic, partition, log_offset, ts_ms, key, value FROM vlog WHERE log_offset >= 100 AND log_offset < 600",
+    "log_append_markers": """SELECT t.topic, t.partition, leo + row_number() OVER (PARTITION BY t.topic, t.partition ORDER BY txn_seq) - 1 AS log_offset, txn_seq, CASE status WHEN 'Committed' THEN 'commit' ELSE 'abort' END AS marker
+FROM vtxn t JOIN vends d ON t.topic = d.topic AND t.partition = d.partition WHERE status IN ('Committed', 'Aborted')""",
+    "log_poll_fairly": "SELECT topic, partition, log_offset FROM vlog ORDER BY log_offset, topic, partition LIMIT 40",
+    "log_oversized_batches": "SELECT topic, partition, batch_no, size_bytes FROM vbatch WHERE size_bytes > 330",
+    "log_partition_bytes": "SELECT topic, partition, cast(sum(encoded_size) AS bigint) AS size_bytes, max(ts_ms) AS newest_ms FROM vseg GROUP BY topic, partition",
+    "replica_undiscovered_peers": "SELECT n_nationkey AS node, n_name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 9 = 0)",
+    "replica_full_ack": "SELECT topic, partition, bool_and(leo - 1 - (partition * 3 + node) % 5 >= leo - 4) AS acked FROM vends, (SELECT unnest([1, 2, 3]) AS node) n GROUP BY topic, partition",
+    "producer_lru_evictions": "SELECT user_id AS producer_id, max(event_id) AS last_used FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_id % 50 = 0) GROUP BY user_id ORDER BY last_used, user_id LIMIT 10",
+    "share_restored": "SELECT topic, partition, first_offset, last_offset, acquired_by, CASE state WHEN 'Acquired' THEN 'Available' ELSE state END AS state, delivery_count FROM ranges",
+    "policy_cidr": "SELECT event_id, user_id % 300 < 128 AS inside FROM events",
+    "config_values": """SELECT c_custkey, CASE WHEN try_cast(trim(raw) AS bigint) >= 0 THEN try_cast(trim(raw) AS bigint) END AS number, CASE WHEN lower(trim(raw)) IN ('none', 'lz4', 'zstd') THEN lower(trim(raw)) END AS codec
+FROM (SELECT c_custkey, ['5', ' 7 ', '', 'x', '-3', ' LZ4', 'zstd'][c_custkey % 7 + 1] AS raw FROM customer) c""",
+    "batch_attributes": "SELECT event_id, ['none', 'lz4', 'zstd'][least(event_id % 8, 2) + 1] AS codec, event_id % 16 >= 8 AS transactional, event_id % 32 >= 16 AS control FROM events",
+    "catalog_rosters": """WITH c AS (SELECT event_type AS topic, user_id % 4 AS partition, event_id AS seq, event_id % 5 AS leader, [event_id % 5, (event_id + 1) % 5] AS isr, CASE WHEN event_id % 3 = 0 THEN [event_id % 5, (event_id + 1) % 5, (event_id + 2) % 5] END AS replicas FROM events),
+m AS (SELECT topic, max(seq) AS made FROM c WHERE seq % 100 = 0 GROUP BY topic),
+g AS (SELECT c.topic, c.partition, max_by(leader, seq) AS leader, max_by(isr, seq) AS isr, max_by(replicas, seq) FILTER (WHERE replicas IS NOT NULL) AS named FROM c JOIN m ON c.topic = m.topic WHERE seq % 100 <> 0 AND seq > made GROUP BY c.topic, c.partition)
+SELECT topic, partition, leader, array_to_string(list_concat(coalesce(named, isr), list_filter(isr, lambda z: NOT list_contains(coalesce(named, isr), z))), ',') AS replicas FROM g""",
+    "metric_prometheus": """SELECT concat('log_records_total{topic="', event_type, '"} ', count(*)) AS line FROM events GROUP BY event_type UNION ALL SELECT concat('log_records_total ', count(*)) FROM events""",
 }
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.functions import policy, routing
+from tidelog.functions import policy, routing, values
 from tidelog.operators import catalog, compaction, groups, isolation, log, metrics, producer, replication, retention, share
 from tidelog.operators.log import TP
 from tidelog.sources import virtual_log as v
@@ -469,6 +469,111 @@ def election_tally(spark, folder):
     return replication.elected(votes, 9)
 
 
+# smaller operators of the sections above
+
+
+@query
+def txn_decision_kept(spark, folder):
+    c = changes(spark, folder).select("transaction_id", "status", "seq")
+    other = c.filter("status = 'Ongoing' and floor(seq / 10) % 5 = 2").select("transaction_id", F.lit("PrepareAbort").alias("status"), (F.col("seq") + 5).alias("seq"))
+    return producer.latest_status(c.unionByName(other))
+
+
+@query
+def group_fetch_progress(spark, folder):
+    fetches = table(spark, folder, "events").filter("event_type = 'purchase'").select((F.col("user_id") % 8).alias("group_no"), F.col("user_id").alias("member_id"), millis("ts").alias("at_ms"))
+    return groups.with_progress(v.members(spark, folder), fetches).select("group_no", "member_id", "last_progress_ms")
+
+
+@query
+def log_replication_fetch(spark, folder):
+    return log.fetch_range(v.log(spark, folder), 100, 600).select(*RECORD)
+
+
+@query
+def log_append_markers(spark, folder):
+    records = v.log(spark, folder)
+    return log.append_markers(v.transactions(records), v.ends(records)).select(*TP, "log_offset", "txn_seq", "marker")
+
+
+@query
+def log_poll_fairly(spark, folder):
+    return log.take_fairly(v.log(spark, folder), 40).select(*TP, "log_offset")
+
+
+@query
+def log_oversized_batches(spark, folder):
+    return log.oversized(v.batches(v.log(spark, folder)), 330).select(*TP, "batch_no", "size_bytes")
+
+
+@query
+def log_partition_bytes(spark, folder):
+    return segment_rows(spark, folder).groupBy(*TP).agg(F.sum("size_bytes").alias("size_bytes"), F.max("newest_ms").alias("newest_ms"))
+
+
+@query
+def replica_undiscovered_peers(spark, folder):
+    peers = table(spark, folder, "nation").select(F.col("n_nationkey").alias("node"), "n_name")
+    return catalog.undiscovered(peers, table(spark, folder, "supplier").filter("s_suppkey % 9 = 0").select(F.col("s_nationkey").alias("node")))
+
+
+@query
+def replica_full_ack(spark, folder):
+    ends = v.ends(v.log(spark, folder))
+    replicas = ends.withColumn("node", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).withColumn("watermark", F.col("leo") - 1 - (F.col("partition") * 3 + F.col("node")) % 5)
+    return replication.fully_acked(replicas.withColumn("target", F.col("leo") - 4), "target", 2)
+
+
+@query
+def producer_lru_evictions(spark, folder):
+    e = table(spark, folder, "events").select(F.col("user_id").alias("producer_id"), "event_id")
+    used = e.groupBy("producer_id").agg(F.max("event_id").alias("last_used"))
+    return catalog.eviction_order(used, e.filter("event_id % 50 = 0").select("producer_id").distinct(), 10)
+
+
+@query
+def share_restored(spark, folder):
+    x = held(spark, folder)
+    return share.restored(share.apply_acks(x, v.acks(x)))
+
+
+@query
+def policy_cidr(spark, folder):
+    e = table(spark, folder, "events").select("event_id", F.concat(F.lit("10."), (F.col("user_id") % 300).cast("string"), F.lit("."), (F.col("event_id") % 256).cast("string"), F.lit(".1")).alias("address"))
+    return e.select("event_id", policy.cidr_contains("10.0.0.0/9", "address").alias("inside"))
+
+
+@query
+def config_values(spark, folder):
+    raw = F.element_at(F.array(*[F.lit(x) for x in ("5", " 7 ", "", "x", "-3", " LZ4", "zstd")]), (F.col("c_custkey") % 7 + 1).cast("int"))
+    return table(spark, folder, "customer").select("c_custkey", values.optional_long(raw).alias("number"), values.one_of(raw, values.CODECS).alias("codec"))
+
+
+@query
+def batch_attributes(spark, folder):
+    a = (F.col("event_id") % 32).cast("int")
+    a = a - F.when(a.bitwiseAND(7) > 2, a.bitwiseAND(7) - 2).otherwise(0)  # only known codecs
+    return table(spark, folder, "events").select("event_id", values.codec_of(a).alias("codec"), values.is_transactional(a).alias("transactional"), values.is_control(a).alias("control"))
+
+
+@query
+def catalog_rosters(spark, folder):
+    nodes = lambda n: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: (F.col("event_id") + j) % 5)
+    none = F.expr("cast(array() as array<bigint>)")
+    c = table(spark, folder, "events").select(
+        F.col("event_type").alias("topic"), (F.col("user_id") % 4).alias("partition"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 100 == 0, "create").otherwise("leader").alias("op"),
+        (F.col("event_id") % 5).alias("leader"), nodes(2).alias("isr"), F.when(F.col("event_id") % 3 == 0, nodes(3)).otherwise(none).alias("replicas"),
+    )
+    x = catalog.rosters(c)
+    return x.select("topic", "partition", "leader", F.array_join(F.transform("replicas", lambda r: r.cast("string")), ",").alias("replicas"))
+
+
+@query
+def metric_prometheus(spark, folder):
+    e = table(spark, folder, "events").select(F.col("event_type").alias("topic"), v.size_of("props").alias("bytes"))
+    return metrics.prometheus(metrics.topic_counters(e).select(F.lit("log_records_total").alias("metric"), "topic", F.col("records").alias("value")))
+
+
 # segment files and streams
 
 
