@@ -5,7 +5,7 @@ import numpy as np
 from tests.llm import cases
 from tests.llm.test_rows import words
 from tidelog.llm.components import components
-from tidelog.llm.neardup import banding, near_duplicates, sketches
+from tidelog.llm.neardup import banding, consensus, near_duplicates, open_pairs, sketches
 
 
 def brute(rows, k, num, den):
@@ -77,6 +77,29 @@ def test_circle_of_near_copies(spark):
     assert 1 < len({x[2] for x in got}) < 150
 
 
+def test_bounds_leave_every_link_open(spark):
+    r = random.Random(4)
+    circles, sets = [], {}
+    for hub, size in (("a", 500), ("b", 1000), ("c", 1700), ("d", 3000)):
+        core = [r.getrandbits(62) for _ in range(size)]
+        passages = [[r.getrandbits(62) for _ in range(r.randint(2, size // 60))] for _ in range(20)]
+        for i in range(60):
+            own = set(core[: r.randint(size * 88 // 100, size * 96 // 100)])  # nested, so that the bounds are met
+            common = len(own)
+            for p in r.sample(passages, 2):
+                own |= set(p)
+            own |= {r.getrandbits(62) for _ in range(r.randint(size * 4 // 100, size * 11 // 100))}
+            node = f"{hub}{i:02}"
+            sets[node] = own
+            circles.append((hub, node, node, len(own), common, sorted(own - set(core))))
+    members, extras = consensus(spark.createDataFrame(circles, "hub string, node string, label string, s long, common long, extra array<long>"))
+    for num in (80, 85):
+        found = {frozenset(x) for x in open_pairs(members, extras, num, 100).collect()}
+        linked = lambda a, b: 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])  # noqa: E731, B023
+        want = {frozenset((a, b)) for a in sets for b in sets if a < b and a[0] == b[0] and linked(a, b)}
+        assert want <= found and 50 < len(want) and len(found) < 4 * 60 * 59 // 2, (num, len(want), len(found), len(want - found))
+
+
 def test_odd_rows(spark):
     rows = [(x[0], x[1]) for x in cases.rows()]
     assert cases.collected(near_duplicates(cases.frame(spark), 3, 85, 100), *NAMES) == brute(rows, 3, 85, 100)

@@ -162,8 +162,10 @@ def open_pairs(members: DataFrame, extras: DataFrame, num: int, den: int) -> Dat
     """(p, u) of members of one circle in different components that the bounds do not exclude.
 
     With o the intersection a link needs, two members share at least o - min(common, common') elements outside the
-    consensus. The poorer one (by common) needs k or more with partners of a size range; where k > 0, one of its
-    rarest extras, all but the last k - 1, is among the partner's (`by element`), where not, sizes decide (`by size`).
+    consensus. Where sizes alone leave that at 0, the pair is open (`by size`, only where the least size of the range
+    leaves it at 0). All others share at least one, and the poorer one (by common) k or more with partners of a size
+    range: one of its rarest extras, all but the last k - 1, is among the partner's (`by element`), and as many of
+    these are as the exact sizes need beyond k - 1.
     """
     o = lambda a, b: num * (a + b) / (num + den)
     bin_of = lambda v: F.floor(F.log(v.cast("double")) / STEP)
@@ -177,13 +179,15 @@ def open_pairs(members: DataFrame, extras: DataFrame, num: int, den: int) -> Dat
     ranged = ranged.withColumn("k", need).drop("bin")
     own = Window.partitionBy("hub", "node")  # one document's elements
     e = extras.withColumn("r", F.row_number().over(own.orderBy("df", "x"))).withColumn("m", F.count(F.lit(1)).over(own))
-    poor = ranged.filter("k > 0").join(e, ["hub", "node"]).filter("r <= m - k + 1").select("hub", "x", "_bin", "node", "label", "common", "s")
+    poor = ranged.withColumn("k", F.greatest("k", F.lit(1))).join(e, ["hub", "node"]).filter("r <= m - k + 1").select("hub", "x", "_bin", "node", "label", "common", "s", "k")
     rich = members.join(extras, ["hub", "node"]).select(F.col("hub").alias("_hub"), F.col("x").alias("_x"), F.col("bin").alias("_b"), F.col("node").alias("_node"), F.col("label").alias("_label"), F.col("common").alias("_common"), F.col("s").alias("_s"))
     poorer = (F.col("common") < F.col("_common")) | ((F.col("common") == F.col("_common")) & (F.col("node") < F.col("_node")))
     fits = (F.col("label") != F.col("_label")) & poorer & (num * F.col("s") <= den * F.col("_s")) & (num * F.col("_s") <= den * F.col("s"))
-    by_element = poor.join(rich.hint("merge"), (F.col("hub") == F.col("_hub")) & (F.col("x") == F.col("_x")) & (F.col("_bin") == F.col("_b")) & fits)
-    sizes = members.select(F.col("hub").alias("_hub"), F.col("node").alias("_node"), F.col("label").alias("_label"), F.col("s").alias("_s"), F.col("common").alias("_common"), F.col("bin").alias("_b"))
     enough = (num + den) * F.col("common") >= num * (F.col("s") + F.col("_s"))
+    by_element = poor.join(rich.hint("merge"), (F.col("hub") == F.col("_hub")) & (F.col("x") == F.col("_x")) & (F.col("_bin") == F.col("_b")) & fits & ~enough)
+    shared = by_element.groupBy("hub", "node", "_node").agg(F.count(F.lit(1)).alias("both"), *[F.first(c).alias(c) for c in ("k", "common", "s", "_s")])
+    by_element = shared.filter((num + den) * (F.col("both") + F.col("k") - 1 + F.col("common")) >= num * (F.col("s") + F.col("_s")))
+    sizes = members.select(F.col("hub").alias("_hub"), F.col("node").alias("_node"), F.col("label").alias("_label"), F.col("s").alias("_s"), F.col("common").alias("_common"), F.col("bin").alias("_b"))
     by_size = ranged.filter("k <= 0").join(sizes.hint("merge"), (F.col("hub") == F.col("_hub")) & (F.col("_bin") == F.col("_b")) & fits & enough)
     pair = [F.col("node").alias("p"), F.col("_node").alias("u")]
     return by_element.select(*pair).unionByName(by_size.select(*pair)).distinct()
