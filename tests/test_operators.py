@@ -217,3 +217,10 @@ def test_metrics_by_hand(spark):
 def test_rosters(spark):
     c = spark.createDataFrame([("t", None, "create", None, None, None, 1), ("t", 0, "leader", 1, [1, 2], [1, 2, 3], 2), ("t", 0, "leader", 2, [2, 9], [], 3), ("t", 1, "leader", 5, [5], [], 4)], "topic string, partition long, op string, leader long, isr array<long>, replicas array<long>, seq long")
     assert {x.partition: (x.leader, x.replicas) for x in catalog.rosters(c).collect()} == {0: (2, [1, 2, 3, 9]), 1: (5, [5])}
+
+
+def test_follow_reads_a_folder_of_part_files(spark, sf, tmp_path):
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    events.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    one, parts = (follow.drain(follow.follow(spark, folder, "events")) for folder in (sf, str(tmp_path)))
+    assert sorted(map(repr, parts.collect())) == sorted(map(repr, one.collect())) and parts.count() == events.count() > 0

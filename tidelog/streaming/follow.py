@@ -15,10 +15,13 @@ def scratch(spark: SparkSession) -> str:
 
 
 def follow(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 100) -> DataFrame:
-    """The table's files as a stream, with ts as a timestamp that can carry a watermark."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
+    """The table's file, or the part files of its folder, as a stream, with ts as a timestamp that can carry a watermark."""
+    path = f"{folder}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
     one = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-    df = one.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    parts = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+    df = one.parquet(path) if parts else one.option("pathGlobFilter", f"{name}.parquet").parquet(folder)  # the filter sees names of files only
     return df.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in df.columns else df
 
 
