@@ -57,6 +57,27 @@ def test_distant_repeats_take_the_label(field):
     assert added("token 2321bac4111111111111111d15ec8f90 ok", field) == set()
 
 
+def test_many_repeats_take_the_label(field):
+    for n in (5, 12, 40):
+        text = "Call +1 (366) 555-9807 today. " + "plain words and 366-555-9807 again, " * n
+        spans = pii.all_spans(text, field)
+        assert [text[lo:hi] for kind, lo, hi, own in spans if kind == 4 and not own] == ["366-555-9807"] * n
+        assert pii.all_spans("plain words and 366-555-9807 again, " * n, field) == []
+
+
+def test_repeats_that_lean_to_plain_take_the_label():
+    w = np.zeros((2, pii.LABELS))
+    for lean in (0.5, 1, 2, 3):
+        w[1, 0] = lean
+        f = pii.Field(w, np.zeros((pii.LABELS,) * 2), 10 * np.eye(pii.LABELS))
+        for n in (5, 12, 40, 1000):
+            text = "+1 (366) 555-9807" + " or 366-555-9807" * n
+            found = pii.nodes(text, pii.base_spans(text))
+            assert len(found) == n + 1
+            belief = pii.infer(f, [[0]] + [[1]] * n, [s[0] for s in found], *pii.edges(text, found))
+            assert (belief.argmax(axis=1) == 4).all() and (belief[:, 4] >= pii.SURE).all()
+
+
 def test_message_passing_is_exact_on_a_chain():
     r = np.random.default_rng(1)
     f = pii.Field(r.normal(size=(3, pii.LABELS)), r.normal(size=(pii.LABELS,) * 2), np.eye(pii.LABELS))

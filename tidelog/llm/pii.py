@@ -3,8 +3,9 @@
 Nodes are the spans of the patterns and, in the text between them, all other runs of digits and addresses; any other
 word is observed as plain. Node potentials come from the run's shape and the word before it. Neighbouring nodes share a
 chain potential. Nodes with the same key anywhere in the document (the last ten digits, the address in lower case) share a
-skip potential, so a number once written as a telephone number is one wherever it stands. Loopy message passing gives
-each node's label; pattern spans are clamped to theirs and always stay.
+skip potential with a pattern span of that key (of each kind there is; else with the key's first node), so a number once
+written as a telephone number is one wherever and however often it stands. Loopy message passing, until messages settle,
+gives each node's label; pattern spans are clamped to theirs and always stay.
 
 The potentials are fitted piece by piece on a bounded sample of documents: node weights by multinomial regression on
 the pattern's labels (a run that shares a key with a pattern span, or would match if it stood alone, counts as unknown
@@ -35,8 +36,10 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
 MARKED = re.compile("[0-9@]")
 RUN = re.compile(r"[^\s@]+@[^\s@]+|(?<!\w)\+?\(?[0-9][0-9().-]*(?:\x20[(0-9][0-9().-]*)*(?!\w)")
-#: Documents of the training sample, sweeps of message passing, least probability of a span that is added.
-SAMPLE, SWEEPS, SURE = 2000, 10, 0.6
+#: Documents of the training sample, least probability of a span that is added.
+SAMPLE, SURE = 2000, 0.6
+#: Messages have settled when none moves by more; loops that never settle end after so many sweeps.
+SETTLED, SWEEPS = 1e-4, 1000
 #: Messages made at a time.
 EDGES = 1 << 16
 
@@ -133,16 +136,17 @@ def nodes(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, i
 
 
 def edges(text: str, found: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """(chain, skip): nodes next to each other, and nodes with the same key, each with the one before."""
+    """(chain, skip): nodes next to each other, and nodes with the same key, as stars around its pattern spans."""
     chain = [(i - 1, i) for i in range(1, len(found)) if 0 <= found[i][1] - found[i - 1][2] <= 2]
-    last: dict[str, int] = {}
-    skip = []
-    for i, (_, lo, hi) in enumerate(found):
-        k = key(text[lo:hi])
+    keys = [key(text[lo:hi]) for _, lo, hi in found]
+    centres: dict[str, dict[int, int]] = {}  # key -> label -> its first pattern span
+    for i, (label, _, _) in enumerate(found):
+        if label and keys[i] is not None:
+            centres.setdefault(keys[i], {}).setdefault(label, i)
+    for i, k in enumerate(keys):
         if k is not None:
-            if k in last:
-                skip.append((last[k], i))
-            last[k] = i
+            centres.setdefault(k, {0: i})
+    skip = [(c, i) for i, k in enumerate(keys) if k is not None for c in centres[k].values() if c != i]
     return chain, skip
 
 
@@ -160,7 +164,7 @@ def infer(field: Field, features: list[list[int]], fixed: list[int], chain, skip
     theta = np.array([field.node[on].sum(axis=0) for on in features])
     for i, label in enumerate(fixed):
         if label:
-            theta[i] = -50.0
+            theta[i] = -1e9  # however many repeats lean the other way
             theta[i, label] = 0.0
     pairs, n = [*chain, *skip], len(chain) + len(skip)
     a = np.array([p[0] for p in pairs] + [p[1] for p in pairs], int)
@@ -178,7 +182,11 @@ def infer(field: Field, features: list[list[int]], fixed: list[int], chain, skip
             out = (belief[a[part]] - message[back[part]])[:, :, None] + psi[kind[part]]
             top = out.max(axis=1)
             new[part] = np.log(np.exp(out - top[:, None, :]).sum(axis=1)) + top
-        message = 0.5 * message + 0.5 * (new - new.max(axis=1, keepdims=True))
+        new -= new.max(axis=1, keepdims=True)
+        moved = np.abs(new - message).max()
+        message = 0.5 * message + 0.5 * new
+        if moved < SETTLED:
+            break
     belief = theta.copy()
     np.add.at(belief, b, message)
     p = np.exp(belief - belief.max(axis=1, keepdims=True))
