@@ -1,8 +1,17 @@
 """License scan, with DataFrame functions only: phrases, and an exact set-similarity join of text blocks with templates.
 
-A block is a line. A template is found in a block that holds at least CONTAINED of the template's distinct words. All
-words of the corpus that any template uses are counted; templates and blocks are put in the order of these counts,
-rarest first. Then a block can hold a template only if
+Texts are tokenised once. What any template or phrase uses (a fixed vocabulary) is kept as one number a word, word
+number times vocabulary plus word code, in a checkpointed table; counts, blocks, filters, verification and phrases are
+read from there, never from the text again.
+
+Blocks follow words, not lines, so that wrapped and commented texts are found: for each L of LEVELS, blocks of 2 L
+words begin every L words, and any L consecutive words lie in one. A template belongs to the least level that it fits.
+It is found in a block that holds at least CONTAINED of its distinct words, and all of those it cannot do without
+(``must``: its names, and what sets it apart from a template of another label that is as good as contained). Of the
+labels of a family a block keeps the one it holds most words of.
+
+The words of the vocabulary are put in the order of their counts in the whole corpus, rarest first. Then a block can
+hold a template only if
 
 * length: it has as many template words as the template needs (`least`),
 * prefix: it has one of the template's first size - least + 1 words, which are rare,
@@ -14,127 +23,163 @@ Pairs that pass are verified on their full sets.
 from __future__ import annotations
 
 import math
+import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import cut, texts
+from tidelog.llm.templates import TEMPLATES
 
 #: Phrases and labels of the base.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A word of a lower-cased text, and of any text.
-WORD, ANY_WORD, GAP = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-CONTAINED = 0.8
-#: Label -> sentences of licenses and of notices that name them.
-TEMPLATES = {
-    "apache-2.0": [
-        "Licensed under the Apache License, Version 2.0.",
-        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
-    ],
-    "mit": [
-        "Released under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
-        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    ],
-    "gpl-3.0": [
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-    ],
-    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
-    "cc-by-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "cc-by-nc-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "cc-by-sa-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
-}
-
-
-def lowered(c) -> Column:
-    """A-Z as a-z, nothing else."""
-    return F.translate(c, UPPER, LOWER)
-
-
-def strings(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values]) if values else F.expr("cast(array() as array<string>)")
+#: Words by what they are made of: the complement of [\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F], and much faster to match.
+WORD = r"[a-zA-Z0-9\x{80}-\x{10FFFF}]+"
+CONTAINED, LEVELS = 0.8, (32, 128)
+
+
+@dataclass(frozen=True)
+class Template:
+    label: str
+    family: str
+    level: int
+    words: frozenset[str]
+    must: frozenset[str]
+    least: int
 
 
 def words_of(text: str) -> list[str]:
-    import re
+    return re.findall("[a-z0-9\x80-\U0010ffff]+", text.translate(str.maketrans(UPPER, LOWER)))
+
+
+def compiled(entries, contained: float = CONTAINED) -> list[Template]:
+    """Templates with what each cannot do without; (label, family, must, text) of each entry."""
+    sets = [(label, family, frozenset(words_of(must)), words_of(text)) for label, family, must, text in entries]
+    out = []
+    for label, family, must, words in sets:
+        own = frozenset(words)
+        least = math.ceil(contained * len(own) - 1e-9)
+        for other, _, _, theirs in sets:
+            if other != label and len(own & set(theirs)) >= least:
+                must |= own - set(theirs)
+        level = next((x for x in LEVELS if len(words) <= x), None)
+        if level is None:
+            raise ValueError(f"a template of {len(words)} words fits no level: give its paragraphs")
+        out.append(Template(label, family, level, own, must & own, least))
+    return out
 
-    return re.findall(WORD, text.translate(str.maketrans(UPPER, LOWER)))
 
+def numbers(values) -> Column:
+    return F.array(*[F.lit(v) for v in values]) if values else F.expr("cast(array() as array<int>)")
 
-def template_sets(templates: dict[str, list[str]]) -> list[tuple[str, frozenset[str]]]:
-    return [(label, frozenset(words_of(t))) for label, ts in templates.items() for t in ts]
 
+def vocabulary(templates: list[Template]) -> list[str]:
+    return sorted({w for t in templates for w in t.words} | {w for p in PHRASES for w in p.split()})
 
-def word_counts(rows: DataFrame, vocabulary: list[str]) -> dict[str, int]:
-    """How often each word of the templates occurs in all texts; the result has at most a row for each of them."""
-    table = rows.sparkSession.createDataFrame([(w,) for w in sorted(vocabulary)], "_word string")
-    every = rows.select(F.explode(F.regexp_extract_all("text", F.lit(ANY_WORD), 0)).alias("w")).filter(F.length("w") <= max(map(len, vocabulary)))
-    found = every.select(lowered("w").alias("w")).join(F.broadcast(table), F.col("w") == F.col("_word"))
-    return {x["w"]: x["n"] for x in found.groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
 
+def tokenised(rows: DataFrame, words: list[str]) -> DataFrame:
+    """row, doc_id, n_words and hits: place * len(words) + code of each word of the vocabulary, in the order of the text."""
+    every = F.regexp_extract_all("text", F.lit(WORD), 0)
+    known = F.array(*[F.lit(w) for w in words])
 
-def matches(rows: DataFrame, sets: list[tuple[str, frozenset[str]]], counts: dict[str, int], contained: float) -> DataFrame:
-    """(doc_id, line, template, label, containment) of all blocks that hold a template."""
-    order = lambda w: (counts.get(w, 0), w)
-    vocabulary = sorted({w for _, s in sets for w in s}, key=order)
-    least = [math.ceil(contained * len(s) - 1e-9) for _, s in sets]
-    prefix = [(w, t, i, len(s), least[t]) for t, (_, s) in enumerate(sets) for i, w in enumerate(sorted(s, key=order)[: len(s) - least[t] + 1])]
-    spark = rows.sparkSession
-    starts = spark.createDataFrame(prefix, "_word string, template int, i int, size int, least int")
-    full = spark.createDataFrame([(t, label, sorted(s)) for t, (label, s) in enumerate(sets)], "_template int, label string, _set array<string>")
-    lines = rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "block"))
-    own = F.array_intersect(strings(vocabulary), F.regexp_extract_all(lowered("block"), F.lit(WORD), 0))  # in the common order
-    lines = lines.select("doc_id", "line", own.alias("own")).filter(F.size("own") >= min(least))
-    lines = lines.filter(F.arrays_overlap("own", strings(sorted({p[0] for p in prefix}))))
-    at = lines.select("doc_id", "line", "own", F.posexplode("own").alias("j", "word"))
-    rest = 1 + F.least(F.col("size") - F.col("i"), F.size("own") - F.col("j")) - 1
-    near = at.join(F.broadcast(starts), (F.col("word") == F.col("_word")) & (F.size("own") >= F.col("least")) & (rest >= F.col("least")))
-    pairs = near.select("doc_id", "line", "own", "template", "size", "least").distinct()
-    checked = pairs.join(F.broadcast(full), F.col("template") == F.col("_template")).withColumn("both", F.size(F.array_intersect("own", "_set")))
-    return checked.filter("both >= least").select("doc_id", "line", "template", "label", (F.col("both") / F.col("size")).alias("containment"))
+    def hit(w: Column, i: Column) -> Column:
+        low = F.lower(w)  # lower() also turns the Kelvin sign, three bytes, into a k
+        code = F.array_position(known, low) - 1
+        return F.when(low.isin(*words) & (F.octet_length(low) == F.octet_length(w)), i.cast("long") * len(words) + code)
 
+    x = rows.select("doc_id", every.alias("w"))
+    return x.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.size("w").cast("long").alias("n_words"), F.filter(F.transform("w", hit), lambda h: h.isNotNull()).alias("hits"))
 
-def places_of(words: Column, phrase: str, label: str) -> Column:
-    """Structs (start, label) of the places where the phrase's words stand consecutively."""
-    p = phrase.split()
 
-    def start(w: Column, i: Column) -> Column:
-        return F.when((w == p[0]) & (F.slice(words, i + 1, len(p)) == strings(p)), i.cast("long"))
+def places_of(words: list[str], phrase: str, label: str) -> Column:
+    """Structs (start, label) of the places where the phrase's words stand consecutively, from hits."""
+    n, codes = len(words), [words.index(w) for w in phrase.split()]
 
-    starts = F.filter(F.transform(words, start), lambda x: x.isNotNull())
-    return F.transform(starts, lambda i: F.struct(i.alias("start"), F.lit(label).alias("label")))
+    def starts(h: Column, i: Column) -> Column:
+        ok = F.pmod(h, F.lit(n)) == codes[0]
+        for j, c in enumerate(codes[1:], 1):
+            ok = ok & (F.get("hits", i + j) == h + j * n + c - codes[0])
+        return F.coalesce(ok, F.lit(False))
 
+    return F.transform(F.filter("hits", starts), lambda h: F.struct(F.floor(h / n).cast("long").alias("start"), F.lit(label).alias("label")))
 
-def phrase_places(words: Column) -> Column:
+
+def phrase_places(words: list[str]) -> Column:
     return F.concat(*[places_of(words, p, label) for p, label in PHRASES.items()])
 
 
-def license_scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, contained: float = CONTAINED) -> DataFrame:
+def word_counts(made: DataFrame, words: list[str]) -> list[int]:
+    """How often each word of the vocabulary occurs in all texts; at most a row for each comes to the driver."""
+    codes = made.select(F.explode("hits").alias("h")).groupBy(F.pmod("h", F.lit(len(words))).alias("code")).agg(F.count(F.lit(1)).alias("n"))
+    out = [0] * len(words)
+    for x in codes.collect():
+        out[x["code"]] = x["n"]
+    return out
+
+
+def block_sets(made: DataFrame, n: int, place_of: list[int], prefix: set[int], level: int, least: int) -> DataFrame:
+    """(row, block, own): the vocabulary of each block of a level as sorted places in the common order.
+
+    Only rows that hold a word of some prefix, and blocks with `least` words, can lead anywhere.
+    """
+    codes = [c for c, p in enumerate(place_of) if p in prefix]
+    near = made.filter(F.exists("hits", lambda h: F.pmod(h, F.lit(n)).isin(*codes))).select("row", F.explode("hits").alias("h"))
+    place = F.element_at(numbers(place_of), (F.pmod("h", F.lit(n)) + 1).cast("int"))
+    last = F.floor(F.col("h") / n / level).cast("long")
+    each = near.select("row", place.alias("place"), F.explode(F.when(last > 0, F.array(last - 1, last)).otherwise(F.array(last))).alias("block"))
+    own = each.groupBy("row", "block").agg(F.array_sort(F.collect_set("place")).alias("own"))  # at most 2 * level of them
+    return own.filter((F.size("own") >= least) & F.arrays_overlap("own", numbers(sorted(prefix))))
+
+
+def matches(made: DataFrame, templates: list[Template], words: list[str]) -> DataFrame:
+    """(row, label, containment) of all blocks that hold a template."""
+    counts = word_counts(made, words)
+    order = sorted(range(len(words)), key=lambda c: (counts[c], words[c]))
+    place_of = [0] * len(words)
+    for p, c in enumerate(order):
+        place_of[c] = p
+    at = {w: place_of[c] for c, w in enumerate(words)}
+    spark, found = made.sparkSession, []
+    for level in LEVELS:
+        here = [(k, t, sorted(at[w] for w in t.words)) for k, t in enumerate(templates) if t.level == level]
+        if not here:
+            continue
+        first = [(s[i], k, i, len(s), t.least) for k, t, s in here for i in range(len(s) - t.least + 1)]
+        starts = spark.createDataFrame(first, "_place int, template int, i int, size int, least int")
+        full = spark.createDataFrame([(k, t.label, t.family, s, sorted(at[w] for w in t.must)) for k, t, s in here], "_template int, label string, family string, _set array<int>, _must array<int>")
+        own = block_sets(made, len(words), place_of, {f[0] for f in first}, level, min(t.least for _, t, _ in here))
+        each = own.select("row", "block", "own", F.posexplode("own").alias("j", "place"))
+        rest = F.least(F.col("size") - F.col("i"), F.size("own") - F.col("j"))
+        near = each.join(F.broadcast(starts), (F.col("place") == F.col("_place")) & (F.size("own") >= F.col("least")) & (rest >= F.col("least")))
+        pairs = near.select("row", "block", "own", "template", "size", "least").distinct()
+        checked = pairs.join(F.broadcast(full), F.col("template") == F.col("_template")).withColumn("both", F.size(F.array_intersect("own", "_set")))
+        checked = checked.filter((F.col("both") >= F.col("least")) & (F.size(F.array_except("_must", "own")) == 0))
+        own_family = checked.groupBy("row", "block", "family").agg(F.collect_set(F.struct("both", "label", (F.col("both") / F.col("size")).alias("containment"))).alias("m"))  # at most the templates
+        best = F.filter("m", lambda x: x["both"] == F.array_max(F.transform("m", lambda y: y["both"])))
+        found.append(own_family.select("row", F.explode(best).alias("b")).select("row", "b.label", "b.containment"))
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def license_scan(docs: DataFrame, templates=TEMPLATES, contained: float = CONTAINED) -> DataFrame:
     """One row for each row of `docs`: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    score is the largest containment of a template found, and 1 where a phrase stands. Null texts count as empty (no
-    words, no labels, score 0); rows that share a doc_id share the templates found in any of them; null doc_ids
-    likewise; an empty table gives no rows; other columns are not read.
+    score is the largest containment of a template found, and 1 where a phrase stands. Null and empty texts have no
+    words, no labels and score 0; null doc_ids and repeated rows stay and are scanned each for itself; very long texts
+    are cut into blocks like any other; an empty table gives no rows; other columns are not read.
     """
-    rows = texts(docs)
-    sets = template_sets(templates or TEMPLATES)
-    counts = word_counts(rows, sorted({w for _, s in sets for w in s}))
-    found = matches(rows, sets, counts, contained)
-    found = cut(found.groupBy("doc_id").agg(F.collect_set("label").alias("_labels"), F.max("containment").alias("_best")))  # sets of at most the labels
-    found = found.withColumnRenamed("doc_id", "_doc")
-
-    start, end = f"(?:^|{GAP})", f"(?:$|{GAP})"
-    any_phrase = "(?i)" + start + "(?:" + "|".join(f"{GAP}+".join(p.split()) for p in PHRASES) + ")" + end
-    words = F.when(F.col("text").rlike(any_phrase.replace("$", r"\z")), F.regexp_extract_all(lowered("text"), F.lit(WORD), 0)).otherwise(strings([]))
-    x = rows.select("doc_id", F.regexp_count("text", F.lit(ANY_WORD)).cast("long").alias("n_words"), words.alias("words"))
-    x = x.select("doc_id", "n_words", phrase_places(F.col("words")).alias("places"))
+    made_of = compiled(templates, contained)
+    words = vocabulary(made_of)
+    made = cut(tokenised(texts(docs), words))
+    found = matches(made, made_of, words).groupBy("row").agg(F.collect_set("label").alias("_labels"), F.max("containment").alias("_best"))  # at most the labels
+    x = made.select("row", "doc_id", "n_words", phrase_places(words).alias("places"))
     base = F.array_sort(F.array_distinct(F.col("places.label")))
-    x = x.select("doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min("places.start").alias("first_word"), F.array_max("places.start").alias("last_word"), base.alias("_base"))
-    out = x.join(found, x["doc_id"].eqNullSafe(found["_doc"]), "left")
-    every = F.array_sort(F.array_union("_base", F.coalesce("_labels", strings([]))))
+    x = x.select("row", "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min("places.start").alias("first_word"), F.array_max("places.start").alias("last_word"), base.alias("_base"))
+    out = x.join(found.withColumnRenamed("row", "_row"), F.col("row") == F.col("_row"), "left")
+    every = F.array_sort(F.array_union("_base", F.coalesce("_labels", F.expr("cast(array() as array<string>)"))))
     score = F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("_best", F.lit(0.0)))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("_base", ",").alias("base_labels"), F.array_join(every, ",").alias("labels"), score.alias("score"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tidelog.llm.licenses import CONTAINED, PHRASES, TEMPLATES, template_sets
+from tidelog.llm.licenses import LEVELS, PHRASES, compiled
+from tidelog.llm.templates import TEMPLATES
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACED = r"[^\x20\x09-\x0D]+"
@@ -43,12 +44,14 @@ def words_sql(words) -> str:
 
 
 PLACES = " UNION ALL ".join(f"SELECT doc_id, unnest(list_filter(range(1, len(w) + 1), lambda i: w[i:i + {len(p.split()) - 1}] = {words_sql(p.split())})) - 1 AS k, '{label}' AS label FROM d" for p, label in PHRASES.items())
-SETS = ", ".join(f"('{label}', {words_sql(sorted(s))})" for label, s in template_sets(TEMPLATES))
-OP5 = f"""WITH d AS (SELECT doc_id, {LOWERED} AS t, regexp_extract_all({LOWERED}, '{ALPHA}') AS w FROM documents),
+SETS = ", ".join(f"('{t.label}', '{t.family}', {t.level}, {t.least}, {words_sql(sorted(t.must))}, {words_sql(sorted(t.words))})" for t in compiled(TEMPLATES))
+BLOCKS = " UNION ALL ".join(f"SELECT doc_id, {x} AS level, k AS block, list_distinct(w[k * {x} + 1:(k + 2) * {x}]) AS b FROM (SELECT doc_id, w, unnest(range(0, (len(w) + {x - 1}) // {x})) AS k FROM d) x" for x in LEVELS)
+OP5 = f"""WITH d AS (SELECT doc_id, regexp_extract_all({LOWERED}, '{ALPHA}') AS w FROM documents),
 places AS ({PLACES}),
 base AS (SELECT doc_id, count(*) AS n_base, min(k) AS first_word, max(k) AS last_word, list_sort(list_distinct(list(label))) AS labels FROM places GROUP BY doc_id),
-lines AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split(t, chr(10))), '{ALPHA}')) AS b FROM d),
-found AS (SELECT doc_id, label, len(list_intersect(b, s)) / len(s) AS c FROM lines, (VALUES {SETS}) AS v(label, s) WHERE len(b) > 2 AND len(list_intersect(b, s)) / len(s) >= {CONTAINED}),
+blocks AS ({BLOCKS}),
+held AS (SELECT doc_id, level, block, label, family, len(list_intersect(b, s)) AS n, len(s) AS size FROM blocks JOIN (VALUES {SETS}) AS v(label, family, level, least, must, s) USING (level) WHERE len(b) >= least AND list_has_all(b, must) AND len(list_intersect(b, s)) >= least),
+found AS (SELECT doc_id, label, n / size AS c FROM held QUALIFY n = max(n) OVER (PARTITION BY doc_id, level, block, family)),
 best AS (SELECT doc_id, max(c) AS c, list_distinct(list(label)) AS labels FROM found GROUP BY doc_id)
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, array_to_string(coalesce(base.labels, []), ',') AS base_labels,
  array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(best.labels, [])))), ',') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(c, 0)::DOUBLE END AS score
