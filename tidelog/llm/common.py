@@ -15,7 +15,10 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, else (local tests) one below the warehouse."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -72,5 +75,26 @@ def ranked(df: DataFrame, keys: list[str], order: Column, name: str, seed: int =
     return out.withColumn(name, F.col("_base") + F.col("_r") - 1).drop("_h", "_salt", "_base", "_r")
 
 
+def in_order(df: DataFrame, *order: Column | str) -> DataFrame:
+    """df with _part, cut: all rows of a part stand before those of the next; inside one, `order` decides."""
+    return cut(df.repartitionByRange(tasks_for(df.sparkSession), *order).withColumn("_part", F.spark_partition_id()))
+
+
+def total_before(df: DataFrame, value: str, name: str, *order: Column | str) -> DataFrame:
+    """Adds `name`: the sum of `value` over all rows before, along the order of `in_order`; no window holds more than a part."""
+    from pyspark.sql import Window
+
+    ahead = Window.partitionBy(F.lit(0)).orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
+    parts = df.groupBy(F.col("_part").alias("_of")).agg(F.sum(value).alias("_all"))
+    parts = parts.select("_of", F.coalesce(F.sum("_all").over(ahead), F.lit(0)).alias("_base"))
+    own = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = df.withColumn("_own", F.coalesce(F.sum(value).over(own), F.lit(0)))
+    return out.join(F.broadcast(parts), F.col("_part") == F.col("_of")).withColumn(name, F.col("_own") + F.col("_base")).drop("_own", "_of", "_base")
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def unique(prefix: str) -> str:
     return f"{prefix}_{uuid.uuid4().hex[:12]}"

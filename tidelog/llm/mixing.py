@@ -1,42 +1,57 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
-Tokens here are words. Each source's words, document after document, are cut into blocks of BLOCK words; a source is
-laid out as several strips (documents by hash), so that no source has to pass through one task. The mix is a row of
-slots, each to be filled by one block. Slots are dealt to output shards by a hash, and a slot's source is read off the
-targets' cumulative shares at its number: a shard's counts by source are multinomial draws, conditioned so that the
-shards together meet every target. A source's k-th slot takes the k-th block of a pseudorandom permutation of its
-block indexes, and begins a new pass when all are used. Blocks, then documents, are joined by index.
+Tokens here are words. Each source's words, document after document, are packed into blocks of BLOCK words; a source is
+laid out as several strips (documents by hash), so that no source has to pass through one task, and the blocks of all
+strips are numbered through. The mix is a row of slots, SHARD of them an output shard, each filled by one block:
+
+* draw: every slot draws its source with the targets' shares as probabilities, so a shard's counts by source are a
+  multinomial draw (seeded: a hash of the slot's number);
+* correction: where all shards together drew more of a source than its target, its last slots in a pseudorandom order
+  go to sources that were drawn too seldom, so that small sources meet their targets too. The slots moved are the
+  draw's sampling error, some sqrt(slots) a source, and lie spread over all shards;
+* permutation: a source's k-th slot takes block p(k mod n) of the source's n blocks, p a pseudorandom permutation
+  computed from the index alone (swap-or-not rounds), a new pass beginning when all are used;
+* join: blocks, then documents, are joined by block number.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import WORD, cut, ranked, tasks_for
+from tidelog.llm.common import WORD, cut, in_order, ranked, tasks_for, total_before
 
-#: Words in a block, weights of sources in turn, most uses of a document, shards, rows in a strip over all sources.
-BLOCK, WEIGHTS, MOST, SHARD, STRIP = 128, (5, 2, 1), 3, 1 << 16, 20_000
+#: Words in a block, weights of sources in turn, most uses of a document, slots in a shard, rows in a strip over all sources.
+BLOCK, WEIGHTS, MOST, SHARD, STRIP = 128, (5, 2, 1), 3, 4096, 2_000
+#: Rounds of the permutation; numbers in a cell of a lookup, and cells made at a time.
+ROUNDS, CELL, RUN = 40, 64, 4096
+
+
+def by_source() -> Column:
+    return F.col("source").asc_nulls_last()
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
-    """From (source, source_size): adds target. One row a source, so the windows here hold one row a source.
+    """From (source, source_size): adds weight and target, and number, the source's place by code point, null last.
 
-    Sources by code point, null last, get the weights in turn. All sizes are shared by weight; a source stops at
-    `most` times its size and what is above goes to the others by weight: the point where that ends is found at once,
-    since sources stop in the order of size over weight.
+    Sources get the weights in turn. All sizes are shared by weight; a source stops at `most` times its size and what
+    is above goes to the others by weight. The level, words for a weight of 1, rises with each round of sources that
+    stop, as in words; only sums come to the driver.
     """
-    every = Window.partitionBy(F.lit(0))
-    order = Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())
-    w = F.array(*[F.lit(float(x)) for x in weights])
-    x = sizes.withColumn("weight", F.element_at(w, (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int")))
-    x = x.withColumn("_cap", (F.lit(most) * F.col("source_size")).cast("double")).withColumn("_ratio", F.col("_cap") / F.col("weight"))
-    stops = Window.partitionBy(F.lit(0)).orderBy("_ratio", F.col("source").asc_nulls_last())
-    earlier = stops.rowsBetween(Window.unboundedPreceding, -1)
-    total = F.sum("source_size").over(every).cast("double")
-    x = x.withColumn("_level", (total - F.coalesce(F.sum("_cap").over(earlier), F.lit(0.0))) / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(earlier), F.lit(0.0))))
-    x = x.withColumn("_level", F.max(F.when(F.col("_level") <= F.col("_ratio"), F.col("_level"))).over(every))
-    return x.withColumn("target", F.least("_cap", F.coalesce(F.col("_level") * F.col("weight"), F.col("_cap")))).select("source", "source_size", "weight", "target")
+    x = in_order(sizes, by_source()).withColumn("_one", F.lit(1).cast("long"))
+    x = total_before(x, "_one", "number", by_source()).drop("_one")
+    w = F.array(*[F.lit(float(v)) for v in weights])
+    x = cut(x.withColumn("weight", F.element_at(w, (F.pmod("number", F.lit(len(weights))) + 1).cast("int"))))
+    cap = F.lit(most) * F.col("source_size")
+    level, total = 0.0, x.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
+    while True:
+        stopped = cap < F.lit(level) * F.col("weight")
+        held, free = x.agg(F.coalesce(F.sum(F.when(stopped, cap)), F.lit(0)), F.coalesce(F.sum(F.when(~stopped, F.col("weight"))), F.lit(0.0))).first()
+        risen = (total - held) / free if free else level
+        if risen <= level:
+            break
+        level = risen
+    return x.withColumn("target", F.least(cap.cast("double"), F.lit(level) * F.col("weight")))
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -57,84 +72,143 @@ def layout(rows: DataFrame) -> DataFrame:
     return rows.withColumn("row", F.row_number().over(order).cast("long")).withColumn("first_word", F.coalesce(before, F.lit(0)))
 
 
-def plan(laid: DataFrame, block: int = BLOCK, seed: int = 0, weights=WEIGHTS, most: int = MOST) -> tuple[DataFrame, DataFrame]:
-    """(sources, taken): sources has source_size and target; taken has (source, strip, block, times) of blocks in the mix."""
-    strips = laid.groupBy("source", "strip").agg(F.sum("size").alias("words"))
-    strips = strips.withColumn("n", F.ceil(F.col("words") / block).cast("long"))
-    own = strips.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("n").alias("n_blocks"))
-    share = targets(own.select("source", "source_size"), weights, most)
-    sources = share.join(own.select(F.col("source").alias("_s"), "n_blocks"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+def located(points: DataFrame, at: str, ranges: DataFrame) -> DataFrame:
+    """points with the row of ranges (_from, _count, ...) that holds the number `at`; ranges don't overlap.
+
+    Both sides meet in cells of CELL numbers, so the work is a join and no list of ranges is held anywhere.
+    """
+    last = F.floor((F.col("_from") + F.col("_count") - 1) / CELL)
+    first = F.floor(F.col("_from") / CELL)
+    runs = ranges.filter("_count > 0").withColumn("_run", F.explode(F.sequence(F.floor(first / RUN), F.floor(last / RUN))))
+    cells = runs.withColumn("_cell", F.explode(F.sequence(F.greatest(first, F.col("_run") * RUN), F.least(last, (F.col("_run") + 1) * RUN - 1)))).drop("_run")
+    found = points.withColumn("_at", F.floor(F.col(at) / CELL)).join(cells.hint("merge"), (F.col("_at") == F.col("_cell")) & (F.col(at) >= F.col("_from")) & (F.col(at) < F.col("_from") + F.col("_count")))
+    return found.drop("_at", "_cell")
+
+
+def permuted(place: Column, n: Column, *key: Column, seed: int = 0) -> Column:
+    """A pseudorandom permutation of 0 to n - 1 for each key, at `place`: in each round, x and its partner k - x (mod n)
+    change places or stay, as a hash of the larger of both says."""
+
+    def step(x: Column, i: Column) -> Column:
+        partner = F.pmod(F.pmod(F.xxhash64(F.lit(seed), i, *key), n) - x, n)
+        return F.when(F.xxhash64(F.lit(seed + 1), i, F.greatest(x, partner), *key).bitwiseAND(F.lit(1)) == 1, partner).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), place.cast("long"), step)
+
+
+def drawn(sources: DataFrame, n: int, seed: int) -> DataFrame:
+    """(slot, number): the source each of n slots draws; sources have number, _from and _count, whose sum is n."""
+    slots = sources.sparkSession.range(0, n, 1, max(tasks_for(sources.sparkSession), 1 + n // (1 << 20))).withColumnRenamed("id", "slot")
+    slots = slots.withColumn("_draw", F.pmod(F.xxhash64(F.lit(seed), "slot"), F.lit(max(1, n))))
+    return located(slots, "_draw", sources.select("number", "_from", "_count")).select("slot", "number")
+
+
+def corrected(slots: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
+    """(slot, number, k): k counts each source's slots from 0 to its n_slots - 1; surplus slots go to sources that lack some."""
+    slots = cut(ranked(slots, ["number"], F.col("slot"), "k", seed))
+    got = slots.groupBy(F.col("number").alias("_n")).agg(F.count(F.lit(1)).alias("_drawn"))
+    x = sources.join(got, F.col("number") == F.col("_n"), "left").drop("_n").withColumn("_drawn", F.coalesce("_drawn", F.lit(0)))
+    x = x.withColumn("_more", F.greatest(F.col("_drawn") - F.col("n_slots"), F.lit(0))).withColumn("_less", F.greatest(F.col("n_slots") - F.col("_drawn"), F.lit(0)))
+    x = cut(total_before(total_before(x, "_more", "_more_from", "number"), "_less", "_less_from", "number"))
+    own = x.select(F.col("number").alias("_n"), "n_slots", "_more_from")
+    slots = slots.join(own.hint("merge"), F.col("number") == F.col("_n"))
+    kept = slots.filter(F.col("k") < F.col("n_slots")).select("slot", "number", "k")
+    loose = slots.filter(F.col("k") >= F.col("n_slots")).select("slot", (F.col("_more_from") + F.col("k") - F.col("n_slots")).alias("_i"))
+    moved = located(loose, "_i", x.select("number", "_drawn", F.col("_less_from").alias("_from"), F.col("_less").alias("_count")))
+    return kept.unionByName(moved.select("slot", "number", (F.col("_drawn") + F.col("_i") - F.col("_from")).alias("k")))
+
+
+def plan(laid: DataFrame, block: int = BLOCK, seed: int = 0, weights=WEIGHTS, most: int = MOST) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sources, strips, filled): sources has source_size and target; strips has (source, strip, start), the number of its
+    first block; filled has (slot, shard, block) of the whole mix."""
+    strips = laid.groupBy("source", "strip").agg(F.sum("size").alias("words")).withColumn("n", F.ceil(F.col("words") / block).cast("long"))
+    strips = cut(total_before(in_order(strips, by_source(), "strip"), "n", "start", by_source(), "strip"))
+    own = strips.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("n").alias("n_blocks"), F.min("start").alias("first_block"))
+    share = targets(own, weights, most)
     slots = F.round(F.col("target") / F.col("source_size") * F.col("n_blocks")).cast("long")
-    sources = sources.withColumn("n_slots", F.when(F.col("source_size") > 0, F.least(slots, most * F.col("n_blocks"))).otherwise(F.lit(0)))
-    # slots: numbered through all sources; the shard of a slot is a hash of its number, its source the share it falls into
-    before = Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    drawn = sources.withColumn("_from", F.coalesce(F.sum("n_slots").over(before), F.lit(0))).filter("n_slots > 0")
-    chunk = 4096  # slots are made in runs, so that one row never expands to all slots of a source
-    runs = drawn.select("source", "n_blocks", "n_slots", "_from", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / chunk))).alias("_run"))
-    runs = runs.repartition(tasks_for(laid.sparkSession), "source", "_run")
-    slot = runs.select("source", "n_blocks", "_from", F.explode(F.sequence(F.col("_run") * chunk, F.least((F.col("_run") + 1) * chunk, F.col("n_slots")) - 1)).alias("k"))
-    slot = slot.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), F.col("_from") + F.col("k")), F.lit(SHARD))).withColumn("place", F.pmod("k", "n_blocks"))
-    # blocks: a permutation of each source's indexes
-    blocks = strips.filter("n > 0").select("source", "strip", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("block"))
-    blocks = ranked(blocks.withColumn("_key", F.struct("strip", "block")), ["source"], F.col("_key"), "place", seed + 1).drop("_key")
-    uses = slot.groupBy("source", "place").agg(F.count(F.lit(1)).alias("times")).withColumnsRenamed({"source": "_source", "place": "_place"})
-    taken = blocks.join(uses.hint("merge"), blocks["source"].eqNullSafe(uses["_source"]) & (blocks["place"] == uses["_place"])).select("source", "strip", "block", "times")
-    return sources.select("source", "source_size", "weight", "target"), taken
-
-
-def pieces(laid: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Each row's part in each block: block, and n, its words there."""
-    last = F.floor((F.col("first_word") + F.col("size") - 1) / block)
-    x = laid.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("first_word") / block), last)))
-    lo = F.greatest(F.col("first_word"), F.col("block") * block)
-    return x.withColumn("n", F.least(F.col("first_word") + F.col("size"), (F.col("block") + 1) * block) - lo).withColumn("at", lo - F.col("first_word"))
-
-
-def in_mix(laid: DataFrame, taken: DataFrame, block: int, how: str) -> DataFrame:
-    """The pieces of laid rows with `times`, how often the mix takes them; null (how = left) if it doesn't."""
-    taken = taken.withColumnsRenamed({"source": "_source", "strip": "_strip", "block": "_block"})
-    p = pieces(laid, block)
-    on = p["source"].eqNullSafe(taken["_source"]) & (p["strip"] == taken["_strip"]) & (p["block"] == taken["_block"])
-    return p.join(taken.hint("merge"), on, how).drop("_source", "_strip", "_block")
+    share = share.withColumn("n_slots", F.when(F.col("source_size") > 0, F.least(slots, most * F.col("n_blocks"))).otherwise(F.lit(0)))
+    share = cut(total_before(share.withColumn("_count", F.col("n_slots")), "_count", "_from", "number"))
+    n = share.agg(F.coalesce(F.sum("n_slots"), F.lit(0))).first()[0]
+    filled = corrected(drawn(share, n, seed), share.drop("_count", "_from"), seed + 1)
+    about = share.select(F.col("number").alias("_n"), "n_blocks", "first_block")
+    filled = filled.join(about.hint("merge"), F.col("number") == F.col("_n"))
+    index = permuted(F.pmod("k", F.col("n_blocks")), F.col("n_blocks"), F.col("number"), seed=seed + 2)
+    filled = filled.select("slot", F.floor(F.col("slot") / SHARD).alias("shard"), (F.col("first_block") + index).alias("block"))
+    return share.select("source", "source_size", "weight", "target"), strips.select("source", "strip", "start"), filled
+
+
+def pieces(laid: DataFrame, strips: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Each row's part in each block: block (numbered through), n, its words there, and `at`, how many come before."""
+    strips = strips.withColumnsRenamed({"source": "_source", "strip": "_strip"})
+    x = laid.filter("size > 0").join(strips.hint("merge"), laid["source"].eqNullSafe(strips["_source"]) & (laid["strip"] == strips["_strip"])).drop("_source", "_strip")
+    x = x.withColumn("_b", F.explode(F.sequence(F.floor(F.col("first_word") / block), F.floor((F.col("first_word") + F.col("size") - 1) / block))))
+    lo = F.greatest(F.col("first_word"), F.col("_b") * block)
+    x = x.withColumn("n", F.least(F.col("first_word") + F.col("size"), (F.col("_b") + 1) * block) - lo).withColumn("at", lo - F.col("first_word"))
+    return x.withColumn("block", F.col("start") + F.col("_b")).drop("_b", "start")
+
+
+def uses(filled: DataFrame) -> DataFrame:
+    """(block, times, first_shard) of each block in the mix."""
+    return filled.groupBy("block").agg(F.count(F.lit(1)).alias("times"), F.min("shard").alias("first_shard"))
+
+
+def in_mix(parts: DataFrame, used: DataFrame, how: str) -> DataFrame:
+    """The pieces with the columns of `used`; null (how = left) if the mix doesn't take them."""
+    used = used.withColumnRenamed("block", "_block")
+    return parts.join(used.hint("merge"), F.col("block") == F.col("_block"), how).drop("_block")
 
 
 def mix(docs: DataFrame, block: int = BLOCK, seed: int = 0, weights=WEIGHTS, most: int = MOST) -> DataFrame:
-    """One row for each row of `docs`: doc_id, source, size, source_size, target, taken (its words in the mix, repeats counted).
+    """One row for each row of `docs`: doc_id, source, size, source_size, target, taken (its words in the mix, repeats
+    counted) and first_shard, the first output shard that holds some of them (null: none).
 
     Rows without words (null, empty) have size and taken 0 and stay in the result; a null source is a source of its
-    own, the last; rows repeated with one doc_id lie side by side and are taken each for itself; an empty table gives
-    an empty result; other columns of `docs` are not read. The same table gives the same mix.
+    own, the last; rows repeated with one doc_id lie side by side and are taken each for itself; very long texts lie in
+    as many blocks as they fill; an empty table gives an empty result; other columns of `docs` are not read. The same
+    table gives the same mix.
     """
     laid = cut(layout(sized(docs)))
-    sources, taken = plan(laid, block, seed, weights, most)
-    used = in_mix(laid, taken, block, "inner").groupBy("source", "strip", "row").agg(F.sum(F.col("n") * F.col("times")).alias("taken"))
-    used = used.withColumnsRenamed({"source": "_source", "strip": "_strip", "row": "_row"})
-    out = laid.join(used.hint("merge"), laid["source"].eqNullSafe(used["_source"]) & (laid["strip"] == used["_strip"]) & (laid["row"] == used["_row"]), "left").drop("_source", "_strip", "_row")
+    sources, strips, filled = plan(laid, block, seed, weights, most)
+    took = in_mix(pieces(laid, strips, block), uses(filled), "inner").groupBy("source", "strip", "row")
+    took = took.agg(F.sum(F.col("n") * F.col("times")).alias("taken"), F.min("first_shard").alias("first_shard")).withColumnsRenamed({"source": "_source", "strip": "_strip", "row": "_row"})
+    out = laid.join(took.hint("merge"), laid["source"].eqNullSafe(took["_source"]) & (laid["strip"] == took["_strip"]) & (laid["row"] == took["_row"]), "left").drop("_source", "_strip", "_row")
     sources = sources.withColumnRenamed("source", "_source")
     out = out.join(sources, out["source"].eqNullSafe(sources["_source"]), "left").drop("_source")
-    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_shard")
+
+
+def mixed_blocks(docs: DataFrame, block: int = BLOCK, seed: int = 0, weights=WEIGHTS, most: int = MOST) -> DataFrame:
+    """The mix by slot: (shard, slot, source, doc_id, at, n), where a slot holds n words of a document from word `at` on.
+
+    Nulls, empty texts, repeated rows, long texts and empty tables as in `mix`; other columns are not read.
+    """
+    laid = cut(layout(sized(docs)))
+    _, strips, filled = plan(laid, block, seed, weights, most)
+    return in_mix(pieces(laid, strips, block), filled, "inner").select("shard", "slot", "source", "doc_id", "at", "n")
 
 
 def mixed_texts(docs: DataFrame, block: int = BLOCK, seed: int = 0, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     """The mix itself, in the columns of `docs`: a document's first copy holds its words in blocks taken at all, its
     second those in blocks taken at least twice, and so on. A copy that holds all words has the text as it was; others
-    have their words joined by a space. Copies without words are no rows, so texts without words don't return; n_chars,
-    where it is a column, follows the text. Equal rows (doc_id and text) are laid out each for itself.
+    have their words joined by a space. Copies without words are no rows, so null and empty texts don't return; n_chars,
+    where it is a column, follows the text. A null source is the last source; null doc_ids are documents like others.
+    Equal rows (doc_id, source and text) are laid out each for itself. Whatever other columns are called, they stay as they are;
+    very long texts may return in parts; an empty table gives an empty result.
     """
     laid = cut(layout(sized(docs)))
-    _, taken = plan(laid, block, seed, weights, most)
-    parts = in_mix(laid, taken, block, "left").withColumn("times", F.coalesce("times", F.lit(0)))
+    _, strips, filled = plan(laid, block, seed, weights, most)
+    parts = in_mix(pieces(laid, strips, block), uses(filled).select("block", "times"), "left").withColumn("times", F.coalesce("times", F.lit(0)))
     parts = parts.groupBy("source", "strip", "row", "doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("at", "n", "times"))).alias("parts"), F.min("times").alias("all"), F.max("times").alias("top")).filter("top > 0")
-    parts = parts.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), "parts", "all", "top")
-    rows = docs.withColumn("_text_key", F.xxhash64("text"))
-    equal = Window.partitionBy("doc_id", "_text_key").orderBy(F.lit(0))
+    parts = parts.select(F.col("source").alias("_from"), F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), "parts", "all", "top")
+    rows = docs.select(F.struct("*").alias("_row"), F.col("source").alias("_source"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text_key"))
+    equal = Window.partitionBy("_source", "_id", "_text_key").orderBy(F.lit(0))
     rows = rows.withColumn("_nth", F.row_number().over(equal)).filter("_nth = 1")
-    x = rows.join(parts.hint("merge"), rows["doc_id"].eqNullSafe(parts["_doc"]) & (rows["_text_key"] == parts["_key"]))
+    x = rows.join(parts.hint("merge"), F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_text_key") == F.col("_key")) & F.col("_source").eqNullSafe(F.col("_from")))
     x = x.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("top").cast("int"))))
-    words = F.regexp_extract_all("text", F.lit(WORD), 0)
+    words = F.regexp_extract_all("_row.text", F.lit(WORD), 0)
     some = F.flatten(F.transform(F.filter("parts", lambda p: p["times"] >= F.col("_copy")), lambda p: F.slice(words, p["at"].cast("int") + 1, p["n"].cast("int"))))
-    text = F.when(F.col("all") >= F.col("_copy"), F.col("text")).otherwise(F.array_join(some, " "))
-    x = x.withColumn("text", text)
+    x = x.withColumn("_text", F.when(F.col("all") >= F.col("_copy"), F.col("_row.text")).otherwise(F.array_join(some, " ")))
+    made = F.col("_row").withField("text", F.col("_text"))
     if "n_chars" in docs.columns:
-        x = x.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return x.select(*docs.columns)
+        made = made.withField("n_chars", F.length("_text").cast(docs.schema["n_chars"].dataType))
+    return x.select(made.alias("_row")).select("_row.*")

@@ -1,20 +1,23 @@
 """Personal data: fixed patterns, and a skip-chain conditional random field over what looks like them.
 
-Nodes are the spans of the patterns and, in the text between them, all other runs of digits and addresses; any other
-word is observed as plain. Node potentials come from the run's shape and the word before it. Neighbouring nodes share a
-chain potential. Nodes with the same key anywhere in the document (the last ten digits, the address in lower case) share a
-skip potential with a pattern span of that key (of each kind there is; else with the key's first node), so a number once
-written as a telephone number is one wherever and however often it stands. Loopy message passing, until messages settle,
-gives each node's label; pattern spans are clamped to theirs and always stay.
-
-The potentials are fitted piece by piece on a bounded sample of documents: node weights by multinomial regression on
-the pattern's labels (a run that shares a key with a pattern span, or would match if it stood alone, counts as unknown
-where it is no span itself), chain and skip weights from counts of label pairs.
+Nodes are the spans of the patterns; in the text between them all other runs of digits and addresses; and the words
+before either, up to CONTEXT of them. A word's label is the kind it announces, or plain. Node potentials come from a
+run's shape or a word's hash. Neighbouring nodes share a chain potential, so that a word bears on the run behind it.
+Nodes with the same key anywhere in the document (the last ten digits, the address in lower case) share a skip potential
+with a pattern span of that key (of each kind there is; else with the key's first node), so a number once written as a
+telephone number is one wherever and however often it stands. Loopy message passing, until messages settle, gives each
+node's label; pattern spans are clamped to theirs and always stay.
+
+All potentials are learned together by pseudo-likelihood, each node given its neighbours' labels, on a bounded sample of
+documents. The patterns give the labels; a run that shares a key with a pattern span, or would match if it stood alone,
+counts as unknown where it is no span itself. Skip weights are learned by withholding: of spans that repeat, one gets the
+shape of its bare key and loses its label, and has to be told by the other.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,14 +33,20 @@ LABELS = 1 + len(KINDS)
 #: The patterns of the base; an email's local part is looked for before each @.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*+")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
 MARKED = re.compile("[0-9@]")
-RUN = re.compile(r"[^\s@]+@[^\s@]+|(?<!\w)\+?\(?[0-9][0-9().-]*(?:\x20[(0-9][0-9().-]*)*(?!\w)")
-#: Documents of the training sample, least probability of a span that is added.
-SAMPLE, SURE = 2000, 0.6
+TOKEN = re.compile(r"\S+")
+RUN = re.compile(r"(?<!\w)\+?\(?[0-9][0-9().-]*(?:\x20[(0-9][0-9().-]*){0,7}(?!\w)")
+LETTERS = re.compile(r"[^\W\d_]+")
+#: Documents of the training sample and nodes taken of each, least probability of a span that is added.
+SAMPLE, NODES, SURE = 2000, 2000, 0.6
+#: Words before a run or span that are nodes, and how far before it they may begin.
+CONTEXT, REACH = 2, 32
+#: The label of a node that is a word; runs have 0 and pattern spans their kind.
+WORD = -1
 #: Messages have settled when none moves by more; loops that never settle end after so many sweeps.
 SETTLED, SWEEPS = 1e-4, 1000
 #: Messages made at a time.
@@ -65,16 +74,29 @@ def emails(text: str):
         at = text.find("@", max(at + 1, end))
 
 
+def addresses_in(chain: str):
+    """Start and end of each group of four numbers of a dotted chain whose parts are at most 255."""
+    parts, at = chain.split("."), 0
+    for k in range(0, len(parts) - 3, 4):
+        group = parts[k : k + 4]
+        size = sum(map(len, group)) + 3
+        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in group):
+            yield at, at + size
+        at += size + 1
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
-    """(kind, start, end), kinds from 1, in the order of kind and start."""
+    """(kind, start, end), kinds from 1, in the order of kind and start. Every search moves forward only, so that time
+    follows the length of any text."""
     out = [(1, lo, hi) for lo, hi in emails(text)] if "@" in text else []
     if not DIGIT.search(text):
         return out
-    out += [(2, m.start(), m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
+    out += [(2, m.start() + lo, m.start() + hi) for m in DOTTED.finditer(text) if "." in m[0] for lo, hi in addresses_in(m[0])]
     for m in CARD.finditer(text):
-        digits = m[0].replace(" ", "").replace("-", "")
-        if 16 <= len(digits) <= 19 and luhn(digits):
-            out.append((3, m.start(), m.end()))
+        if 16 <= m.end() - m.start() <= 37:
+            digits = m[0].replace(" ", "").replace("-", "")
+            if 16 <= len(digits) <= 19 and luhn(digits):
+                out.append((3, m.start(), m.end()))
     if "+" in text:
         out += [(4, m.start(), m.end()) for m in PHONE.finditer(text) if 8 <= sum(c.isascii() and c.isdigit() for c in m[0]) <= 15]
     return out
@@ -90,7 +112,10 @@ def key(run: str) -> str | None:
 
 CUES = ("tel", "phone", "call", "mobile", "fax", "card", "visa", "ip", "host", "server", "email", "mail", "contact", "no", "number")
 LENGTHS = ((1, 3), (4, 6), (7, 7), (8, 9), (10, 10), (11, 11), (12, 12), (13, 15), (16, 16), (17, 19), (20, 10**9))
-N_FEATURES = 1 + len(LENGTHS) + 12 + len(CUES)
+SHAPES = 1 + len(LENGTHS) + 12 + len(CUES)
+#: Buckets of the hash of a word that is a node.
+WORDS = 512
+N_FEATURES = SHAPES + 1 + WORDS
 
 
 def shape(text: str, lo: int, hi: int) -> list[int]:
@@ -110,8 +135,49 @@ def shape(text: str, lo: int, hi: int) -> list[int]:
     return on + [1 + len(LENGTHS) + len(tests) + CUES.index(w.lower()) for w in before if w.lower() in CUES]
 
 
+def bare(run: str, label: int) -> list[int]:
+    """What a run's shape says when the marks of its pattern are gone: the features of its key's lengths alone."""
+    n = len(re.sub("[^0-9]", "", key(run) or run))
+    return [0, *(1 + k for k, (a, b) in enumerate(LENGTHS) if a <= n <= b)] + ([1 + len(LENGTHS)] if label == 1 else [])
+
+
+def seen(text: str, label: int, lo: int, hi: int) -> list[int]:
+    """The features of a node."""
+    return [SHAPES, SHAPES + 1 + zlib.crc32(text[lo:hi].lower().encode()) % WORDS] if label == WORD else shape(text, lo, hi)
+
+
+def runs_between(text: str, at: int, end: int, keys: set):
+    """Runs of digits and addresses in a part of the text that no pattern span covers."""
+    marks, edge = [], at
+    for t in TOKEN.finditer(text, at, end):
+        if "@" in t[0]:
+            parts, place, k = t[0].split("@"), t.start(), 0
+            while k + 1 < len(parts):
+                if parts[k] and parts[k + 1]:
+                    marks.append((place, place + len(parts[k]) + 1 + len(parts[k + 1])))
+                    place += len(parts[k]) + len(parts[k + 1]) + 2
+                    k += 2
+                else:
+                    place += len(parts[k]) + 1
+                    k += 1
+    for lo, hi in [*marks, (end, end)]:
+        for m in RUN.finditer(text, edge, lo):
+            stop = m.start() + len(m[0].rstrip(" (.,-"))
+            if " " in m[0] and key(m[0]) not in keys:
+                part = m.start()
+                for piece in text[m.start() : stop].split(" "):
+                    if DIGIT.search(piece):
+                        yield part, part + len(piece.rstrip("(.,-"))
+                    part += len(piece) + 1
+            else:
+                yield m.start(), stop
+        if hi > lo:
+            yield lo, lo + len(text[lo:hi].rstrip(" (.,-"))
+        edge = hi
+
+
 def nodes(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(label or 0, start, end) in the order of start: the base spans and the runs between them."""
+    """(label, start, end) in the order of start: the base spans, the runs between them (0) and the words before them."""
     covered, at = [], 0
     for _, lo, hi in sorted(base, key=lambda s: s[1:]):
         if covered and lo < covered[-1][1]:
@@ -121,24 +187,23 @@ def nodes(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, i
     keys = {key(text[lo:hi]) for _, lo, hi in base}
     out = list(base)
     for lo, hi in [*covered, [len(text), len(text)]]:
-        for m in RUN.finditer(text, at, lo):
-            end = m.start() + len(m[0].rstrip(" (.,-"))
-            if " " in m[0] and "@" not in m[0] and key(m[0]) not in keys:
-                part = m.start()
-                for piece in text[m.start() : end].split(" "):
-                    if DIGIT.search(piece):
-                        out.append((0, part, part + len(piece.rstrip("(.,-"))))
-                    part += len(piece) + 1
-            else:
-                out.append((0, m.start(), end))
+        out += [(0, *r) for r in runs_between(text, at, lo, keys)]
         at = hi
-    return sorted(out, key=lambda s: (s[1], s[2], s[0]))
+    out.sort(key=lambda s: (s[1], s[2], s[0]))
+    words, edge = [], 0
+    for _, lo, hi in out:
+        if lo > edge:
+            start = max(edge, lo - REACH)
+            near = [(m.start(), m.end()) for m in LETTERS.finditer(text, start, lo)]
+            words += [(WORD, a, b) for a, b in near[-CONTEXT:] if a > start or not text[a - 1 : a].isalpha()]  # whole words
+        edge = max(edge, hi)
+    return sorted(out + words, key=lambda s: (s[1], s[2], s[0]))
 
 
 def edges(text: str, found: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """(chain, skip): nodes next to each other, and nodes with the same key, as stars around its pattern spans."""
-    chain = [(i - 1, i) for i in range(1, len(found)) if 0 <= found[i][1] - found[i - 1][2] <= 2]
-    keys = [key(text[lo:hi]) for _, lo, hi in found]
+    chain = [(i - 1, i) for i in range(1, len(found)) if 0 <= found[i][1] - found[i - 1][2] <= 3]
+    keys = [None if label == WORD else key(text[lo:hi]) for label, lo, hi in found]
     centres: dict[str, dict[int, int]] = {}  # key -> label -> its first pattern span
     for i, (label, _, _) in enumerate(found):
         if label and keys[i] is not None:
@@ -163,7 +228,7 @@ def infer(field: Field, features: list[list[int]], fixed: list[int], chain, skip
     """Beliefs, one row of label probabilities for each node, by loopy sum-product message passing."""
     theta = np.array([field.node[on].sum(axis=0) for on in features])
     for i, label in enumerate(fixed):
-        if label:
+        if label > 0:
             theta[i] = -1e9  # however many repeats lean the other way
             theta[i, label] = 0.0
     pairs, n = [*chain, *skip], len(chain) + len(skip)
@@ -201,7 +266,7 @@ def all_spans(text: str, field: Field) -> list[tuple[int, int, int, bool]]:
     found = nodes(text, base)
     out = [(*s, True) for s in base]
     if len(found) > len(base):
-        belief = infer(field, [shape(text, lo, hi) for _, lo, hi in found], [s[0] for s in found], *edges(text, found))
+        belief = infer(field, [seen(text, *s) for s in found], [s[0] for s in found], *edges(text, found))
         for (label, lo, hi), p in zip(found, belief, strict=True):
             best = int(p.argmax())
             if not label and best and p[best] >= SURE:
@@ -209,61 +274,88 @@ def all_spans(text: str, field: Field) -> list[tuple[int, int, int, bool]]:
     return sorted(out)
 
 
+def examples(text: str) -> list[tuple[list[int], int, list[int], list[int], list[int]]]:
+    """Training rows of a text: (features, label, labels of the nodes before, of those behind, of those with its key).
+
+    Nodes whose label is unknown are no rows and no neighbours. A word's label is that of the run it stands before. Of
+    spans that repeat, the later ones also give a withheld row: the features of the bare key, the label of the first.
+    """
+    base = base_spans(text)
+    found = nodes(text, base)[:NODES]
+    own = {key(text[lo:hi]) for _, lo, hi in base} - {None}
+    labels = [s[0] if s[0] > 0 or s[0] == WORD else -1 if key(text[s[1] : s[2]]) in own or base_spans(text[s[1] : s[2]]) else 0 for s in found]
+    known = [x if f[0] != WORD else None for x, f in zip(labels, found, strict=True)]
+    for i in range(len(found) - 1, -1, -1):
+        if known[i] is None:
+            known[i] = known[i + 1] if i + 1 < len(found) else -1
+    chain, skip = edges(text, found)
+    before, behind = [[] for _ in found], [[] for _ in found]
+    for a, b in chain:
+        if known[a] >= 0 and known[b] >= 0:
+            behind[a].append(known[b])
+            before[b].append(known[a])
+    out = [(seen(text, *s), y, before[i], behind[i], []) for i, (s, y) in enumerate(zip(found, known, strict=True)) if y >= 0]
+    for c, i in skip:
+        if found[c][0] > 0 and found[c][0] == found[i][0]:
+            out.append((bare(text[found[i][1] : found[i][2]], found[i][0]), found[i][0], before[i], behind[i], [found[c][0]]))
+    return out
+
+
 def node_rows(batches):
-    """Training rows: of each document the nodes' features, labels (-1 unknown), chain and skip pairs as label pairs."""
+    kinds = pa.list_(pa.struct([("on", pa.list_(pa.int32())), ("y", pa.int32()), ("before", pa.list_(pa.int32())), ("behind", pa.list_(pa.int32())), ("same", pa.list_(pa.int32()))]))
     for b in batches:
-        feats, labels, pairs = [], [], []
-        for text in b.column("text").to_pylist():
-            base = base_spans(text)
-            found = nodes(text, base)
-            own = {key(text[lo:hi]) for _, lo, hi in base} - {None}
-            unknown = [not s[0] and (key(text[s[1] : s[2]]) in own or bool(base_spans(text[s[1] : s[2]]))) for s in found]
-            label = [-1 if u else s[0] for s, u in zip(found, unknown, strict=True)]
-            feats.append([shape(text, lo, hi) for _, lo, hi in found])
-            labels.append(label)
-            chain, skip = edges(text, found)
-            pairs.append([[kind, label[i], label[j]] for kind, es in enumerate((chain, skip)) for i, j in es])
-        kinds = (pa.list_(pa.list_(pa.int32())), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32())))
-        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip((feats, labels, pairs), kinds, strict=True)], ["features", "labels", "pairs"])
-
-
-def fit(features: list[list[int]], labels: list[int], pairs: list[tuple[int, int, int]]) -> Field:
-    """Multinomial regression for the nodes, smoothed log ratios of counts for the pairs."""
-    known = [i for i, y in enumerate(labels) if y >= 0]
-    # the patterns themselves speak for what no sample shows: a few spans of each kind and a few plain numbers
-    prior = [("+1 (555) 555-0100", 4), ("192.168.0.1", 2), ("4111111111111111", 3), ("a.b@example.com", 1)] * 2 + [(x, 0) for x in ("1", "12", "2024", "3.14", "123456", "12345678", "1234567890", "1.2.3", "4111111111111112")]
-    rows = [features[i] for i in known] + [shape(x, 0, len(x)) for x, _ in prior]
-    y = np.array([labels[i] for i in known] + [k for _, k in prior])
-    x = np.zeros((len(rows), N_FEATURES))
-    for r, on in enumerate(rows):
-        x[r, on] = 1
-    w = np.zeros((N_FEATURES, LABELS))
-    target = np.eye(LABELS)[y]
-    for step in range(300):
-        z = x @ w
+        made = [[dict(zip(("on", "y", "before", "behind", "same"), x, strict=True)) for x in examples(t)] for t in b.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(made, kinds)], ["doc_id", "rows"])
+
+
+#: What no sample may show: spans of each kind, plain numbers, and a repeat of each kind.
+PRIOR = [("+1 (555) 555-0100", 4), ("192.168.0.1", 2), ("4111111111111111", 3), ("a.b@example.com", 1)]
+PRIOR_PLAIN = ("1", "12", "2024", "3.14", "123456", "12345678", "1234567890", "1.2.3", "4111111111111112")
+#: Share of the withheld rows in the fit, steps, rate, weight of the squares.
+WITHHELD, STEPS, RATE, RIDGE = 0.25, 600, 2.0, 1e-5
+
+
+def fit(rows: list[tuple]) -> Field:
+    """Pseudo-likelihood of all rows: features, and counts of labels before, behind and of the same key, are the inputs
+    of one multinomial regression; what stands before b as a is the same weight as what stands behind a as b."""
+    prior = [(shape(x, 0, len(x)), k, [], [], []) for x, k in PRIOR * 2] + [(shape(x, 0, len(x)), 0, [], [], []) for x in PRIOR_PLAIN]
+    rows = [*rows, *prior, *[(bare(x, k), k, [], [], [k]) for x, k in PRIOR]]
+    at = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+    on = np.array([f for r in rows for f in r[0]], int)
+    target = np.eye(LABELS)[[r[1] for r in rows]]
+    counts = np.zeros((3, len(rows), LABELS))
+    for i, r in enumerate(rows):
+        for k in range(3):
+            for y in r[2 + k]:
+                counts[k, i, y] += 1
+    before, behind, same = counts
+    held = same.sum(axis=1) > 0
+    weight = np.where(held, WITHHELD / max(1, held.sum()), (1 - WITHHELD) / max(1, (~held).sum()))[:, None]
+    w, chain, skip = np.zeros((N_FEATURES, LABELS)), np.zeros((LABELS, LABELS)), np.zeros(LABELS)
+    for _ in range(STEPS):
+        z = before @ chain + behind @ chain.T + same * skip
+        np.add.at(z, at, w[on])
         p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        w -= 2.0 * (x.T @ (p - target) / len(rows) + 1e-4 * w)
-    counts = np.zeros((2, LABELS, LABELS))
-    for kind, a, b in pairs:
-        if a >= 0 and b >= 0:
-            counts[kind, a, b] += 1
-    c = counts[0] + counts[0].T + 1
-    chain = np.log(c * c.sum() / np.outer(c.sum(axis=1), c.sum(axis=1)))
-    agree = np.trace(counts[1])
-    skip = np.eye(LABELS) * min(10.0, 6.0 + np.log((agree + 1) / (counts[1].sum() - agree + 1)))
-    return Field(w, np.clip(chain, -2, 2), skip)
+        g = weight * (p / p.sum(axis=1, keepdims=True) - target)
+        back = np.zeros_like(w)
+        np.add.at(back, on, g[at])
+        w -= RATE * (back + RIDGE * w)
+        chain -= RATE * (before.T @ g + g.T @ behind + RIDGE * chain)
+        skip -= RATE * ((same * g).sum(axis=0) + RIDGE * skip)
+    return Field(w, chain, np.diag(skip))
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Field:
-    """Fits the field on at most `sample` documents with a digit or an @, in the order of a hash of doc_id, read whole."""
+    """Fits the field on at most `sample` documents with a digit or an @, in the order of a hash of doc_id, of which the
+    first NODES nodes are taken; of rows that share a doc_id, the text with the least hash."""
     small_batches(docs.sparkSession)
     marked = texts(docs).filter(F.col("text").rlike("[0-9@]"))
     picked = marked.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(sample)
-    made = texts(docs).join(F.broadcast(picked), "doc_id", "left_semi").select("text").mapInArrow(node_rows, "features array<array<int>>, labels array<int>, pairs array<array<int>>")
-    rows = made.collect()  # of at most `sample` documents
-    order = sorted(range(len(rows)), key=lambda i: (rows[i].labels, rows[i].features))
-    return fit([f for i in order for f in rows[i].features], [y for i in order for y in rows[i].labels], [tuple(p) for i in order for p in rows[i].pairs])
+    one = marked.join(F.broadcast(picked), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    kind = one.schema["doc_id"].dataType.simpleString()
+    made = one.mapInArrow(node_rows, f"doc_id {kind}, rows array<struct<on: array<int>, y: int, before: array<int>, behind: array<int>, same: array<int>>>")
+    rows = sorted(made.collect(), key=lambda x: x["doc_id"])  # of at most `sample` documents, NODES nodes each
+    return fit([(r["on"], r["y"], r["before"], r["behind"], r["same"]) for x in rows for r in x["rows"]])
 
 
 SPANS = "array<struct<kind: string, start: long, end: long, base: boolean>>"
@@ -272,7 +364,8 @@ SPANS = "array<struct<kind: string, start: long, end: long, base: boolean>>"
 def find_pii(docs: DataFrame, field: Field) -> DataFrame:
     """One row for each row of `docs`: doc_id, spans (kind, start, end in code points, base) by kind and start.
 
-    Null texts count as empty and have no spans; null doc_ids and repeated rows stay; other columns are not read.
+    Null and empty texts have no spans; null doc_ids and repeated rows stay; very long texts are searched in time that
+    follows their length; an empty table gives no rows; other columns are not read.
     """
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(field)

@@ -2,9 +2,14 @@
 
 Features are hashed words and word beginnings of the text, nothing else, each worth log2(1 + count). Training takes a
 bounded sample of labelled rows (SAMPLE of each label, in the order of a hash of doc_id), keeps the features that tell
-the labels apart, and fits a logistic regression. For every sampled text that names a group of people, the text with
-that name swapped for another one is a counterfactual; the squared change of its logit is part of the loss, so that a
-neutral mention of a group moves no score. Scoring reads every text once, in vectorised batches.
+the labels apart and those of the identity terms, and fits a logistic regression.
+
+Identity terms are lines of words that may stand for each other: names of groups in several languages (GROUPS, a
+parameter) and, since a corpus may name none of these, terms found in the sample: words that are frequent but not
+everywhere and spread evenly over both labels, in lines of about equal frequency. A sampled text that holds terms gives
+up to SWAPS counterfactuals, in each of which one line's terms are swapped for others of that line; the squared change
+of the logit is part of the loss, so that a neutral mention moves no score. Scoring reads every text once, in
+vectorised batches.
 """
 
 from __future__ import annotations
@@ -16,6 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidelog.llm import kernel
 from tidelog.llm.common import cut, small_batches, texts
@@ -38,7 +44,22 @@ GROUPS = (
     "immigrants refugees foreigners natives",
     "disabled blind deaf",
     "elderly young",
+    "frauen männer mädchen jungen",
+    "muslime christen juden hindus buddhisten atheisten",
+    "afrikaner asiaten europäer amerikaner",
+    "einwanderer flüchtlinge ausländer einheimische",
+    "femmes hommes filles garçons",
+    "musulmans chrétiens juifs hindous bouddhistes athées",
+    "africains asiatiques européens américains",
+    "immigrés réfugiés étrangers autochtones",
+    "mujeres hombres chicas chicos",
+    "musulmanes cristianos judíos hindúes budistas ateos",
+    "africanos asiáticos europeos americanos",
+    "inmigrantes refugiados extranjeros nativos",
 )
+#: Terms found in the sample: how many, how many in a line, shares of the sample's rows that hold one, most log odds
+#: between the labels. Counterfactuals of a text.
+TERMS, LINE, HELD, NEUTRAL, SWAPS = 240, 6, (0.01, 0.3), 0.3, 3
 #: Everything in ASCII but the letters parts words here.
 APART = np.ones(256, bool)
 APART[list(range(65, 91)) + list(range(97, 123)) + list(range(128, 256))] = False
@@ -67,49 +88,90 @@ def of_words(names: list[str]) -> dict[str, np.ndarray]:
     return dict(zip(names, made, strict=True))
 
 
-def swaps() -> dict[str, str]:
-    """Each group's name and the one that takes its place."""
-    return {a: b for line in GROUPS for names in [line.split()] for a, b in zip(names, names[1:] + names[:1], strict=True)}
-
-
-def sample_rows(batches):
-    """doc_id, the features and their values, and the change of the features in the counterfactual."""
-    swap = swaps()
-    known = of_words(sorted({*swap, *swap.values()}))
-    first = {int(v[0]): k for k, v in known.items()}
-    for b in batches:
-        out = [[], [], [], []]
-        for x in kernel.blocks(b.column("text")):
-            made, before = features(x)
-            for r in range(x.hi - x.lo):
-                own = made[before[r] : before[r + 1]]
-                ids, values = weigh(own.ravel())
-                other, changed = own.copy(), False
-                for k in np.flatnonzero(np.isin(own[:, 0], list(first))):
-                    name = first[int(own[k, 0])]
-                    if name in swap:
-                        other[k], changed = known[swap[name]], True
-                delta_ids, delta = np.zeros(0, np.int64), np.zeros(0)
-                if changed:
-                    ids2, values2 = weigh(other.ravel())
-                    delta_ids = np.union1d(ids, ids2)
-                    delta = np.zeros(len(delta_ids))
-                    delta[np.searchsorted(delta_ids, ids2)] += values2
-                    delta[np.searchsorted(delta_ids, ids)] -= values
-                    delta_ids, delta = delta_ids[delta != 0], delta[delta != 0]
-                for o, v in zip(out, (ids.astype(np.int32), values.astype(np.float32), delta_ids.astype(np.int32), delta.astype(np.float32)), strict=True):
-                    o.append(v)
-        lists = [pa.array(o, pa.list_(k)) for o, k in zip(out, (pa.int32(), pa.float32(), pa.int32(), pa.float32()), strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *lists, b.column("toxic")], ["doc_id", "ids", "vals", "delta_ids", "delta", "toxic"])
+def found_terms(rows: DataFrame) -> list[str]:
+    """Lines of terms of the sampled rows (doc_id, text, toxic); at most TERMS words come to the driver."""
+    n = {x["toxic"]: x["n"] for x in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n0, n1 = n.get(0, 0), n.get(1, 0)
+    words = F.regexp_extract_all(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"[a-z\x{80}-\x{10FFFF}]+"), 0)
+    seen = rows.select("toxic", F.explode(F.array_distinct(words)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("n1"))
+    odds = F.log((F.col("n1") + 0.5) / (n1 + 1)) - F.log((F.col("n") - F.col("n1") + 0.5) / (n0 + 1))
+    few, many = max(10, HELD[0] * (n0 + n1)), HELD[1] * (n0 + n1)
+    even = seen.filter(F.col("n").between(few, many) & (F.abs(odds) <= NEUTRAL) & (F.length("word") >= 3))
+    words = [x["word"] for x in even.orderBy(F.desc("n"), "word").limit(TERMS).collect()]
+    return [" ".join(words[i : i + LINE]) for i in range(0, len(words) - 1, LINE)]
+
+
+class Terms:
+    """The lines' terms by the bucket of the whole word."""
+
+    def __init__(self, lines):
+        self.lines = [line.split() for line in lines]
+        self.made = of_words(sorted({w for line in self.lines for w in line})) if self.lines else {}
+        self.at: dict[int, tuple[int, int]] = {}
+        for k, line in enumerate(self.lines):
+            for i, w in enumerate(line):
+                self.at.setdefault(int(self.made[w][0]), (k, i))
+        self.first = np.array(sorted(self.at), np.int64)
+
+    def features(self) -> np.ndarray:
+        return np.unique(np.concatenate([*self.made.values(), np.zeros(0, np.int64)]))
+
+    def swapped(self, own: np.ndarray, most: int = SWAPS):
+        """The features of a text's words with the terms of one line swapped, for at most `most` of the lines it holds."""
+        places = np.flatnonzero(np.isin(own[:, 0], self.first))
+        by_line: dict[int, list[tuple[int, int]]] = {}
+        for p in places:
+            line, i = self.at[int(own[p, 0])]
+            if len(self.lines[line]) > 1:
+                by_line.setdefault(line, []).append((int(p), i))
+        pick = np.random.default_rng(int(own.sum()))  # the text's own dice: the same in every run
+        for line in pick.permutation(sorted(by_line))[:most]:
+            other, names = own.copy(), self.lines[line]
+            by = int(pick.integers(1, len(names)))
+            for p, i in by_line[line]:
+                other[p] = self.made[names[(i + by) % len(names)]]
+            yield other
+
+
+def sample_rows(lines):
+    """doc_id, the features and their values, and for each counterfactual the change of the features."""
+
+    def run(batches):
+        terms = Terms(lines)
+        for b in batches:
+            out = [[], [], [], []]
+            for x in kernel.blocks(b.column("text")):
+                made, before = features(x)
+                for r in range(x.hi - x.lo):
+                    own = made[before[r] : before[r + 1]]
+                    ids, values = weigh(own.ravel())
+                    delta_ids, delta = [], []
+                    for other in terms.swapped(own):
+                        ids2, values2 = weigh(other.ravel())
+                        every = np.union1d(ids, ids2)
+                        d = np.zeros(len(every))
+                        d[np.searchsorted(every, ids2)] += values2
+                        d[np.searchsorted(every, ids)] -= values
+                        delta_ids.append(every[d != 0].astype(np.int32))
+                        delta.append(d[d != 0].astype(np.float32))
+                    for o, v in zip(out, (ids.astype(np.int32), values.astype(np.float32), delta_ids, delta), strict=True):
+                        o.append(v)
+            kinds = (pa.list_(pa.int32()), pa.list_(pa.float32()), pa.list_(pa.list_(pa.int32())), pa.list_(pa.list_(pa.float32())))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(o, k) for o, k in zip(out, kinds, strict=True)], b.column("toxic")], ["doc_id", "ids", "vals", "delta_ids", "delta", "toxic"])
+
+    return run
 
 
 @dataclass
 class Model:
-    """ids and weights of the features kept, and the intercept."""
+    """ids and weights of the features kept, the intercept, the lines of terms, and how many sampled rows had a
+    counterfactual."""
 
     ids: np.ndarray
     weights: np.ndarray
     bias: float
+    lines: tuple[str, ...] = ()
+    swapped: int = 0
 
     def table(self) -> np.ndarray:
         w = np.zeros(BUCKETS)
@@ -151,18 +213,20 @@ def telling(made: DataFrame, n0: int, n1: int) -> np.ndarray:
 def narrowed(keep: np.ndarray):
     """Rows of the sample with the features in `keep` alone."""
 
+    def some(ids, values):
+        ok = np.isin(ids, keep)
+        return ids[ok], values[ok]
+
     def run(batches):
         for b in batches:
-            out = []
-            for ids, values in (("ids", "vals"), ("delta_ids", "delta")):
-                some_ids, some_values = [], []
-                for i, v in zip(b.column(ids), b.column(values), strict=True):
-                    i, v = i.values.to_numpy(zero_copy_only=False), v.values.to_numpy(zero_copy_only=False)
-                    ok = np.isin(i, keep)
-                    some_ids.append(i[ok])
-                    some_values.append(v[ok])
-                out += [pa.array(some_ids, pa.list_(pa.int32())), pa.array(some_values, pa.list_(pa.float32()))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *out, b.column("toxic")], ["doc_id", "ids", "vals", "delta_ids", "delta", "toxic"])
+            own = [some(np.array(i, np.int32), np.array(v, np.float32)) for i, v in zip(b.column("ids").to_pylist(), b.column("vals").to_pylist(), strict=True)]
+            other = [
+                [some(np.array(i, np.int32), np.array(v, np.float32)) for i, v in zip(ids, values, strict=True)]
+                for ids, values in zip(b.column("delta_ids").to_pylist(), b.column("delta").to_pylist(), strict=True)
+            ]
+            columns = [pa.array([p[k] for p in own], pa.list_(t)) for k, t in enumerate((pa.int32(), pa.float32()))]
+            columns += [pa.array([[p[k] for p in d] for d in other], pa.list_(pa.list_(t))) for k, t in enumerate((pa.int32(), pa.float32()))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns, b.column("toxic")], ["doc_id", "ids", "vals", "delta_ids", "delta", "toxic"])
 
     return run
 
@@ -195,61 +259,72 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> Model:
-    """Fits the model on at most sample[1] rows of label 0 and sample[0] of label 1, whose texts are read whole."""
+def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, groups=GROUPS) -> Model:
+    """Fits the model on at most sample[1] rows of label 0 and sample[0] of label 1, whose texts are read whole.
+
+    A doc_id labelled both ways counts as toxic; of rows that share one, the text with the least hash is taken.
+    """
     small_batches(docs.sparkSession)
-    rows = labels.filter("toxic is not null and doc_id is not null").filter(~held_out(F.col("doc_id"))).select("doc_id", F.when(F.col("toxic") == 1, 1).otherwise(0).alias("toxic")).distinct()
+    rows = labels.filter("toxic is not null and doc_id is not null").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic"))
     counts = {x["toxic"]: x["n"] for x in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = F.xxhash64(F.lit(7), "doc_id")
     picked = rows.filter("toxic = 1").orderBy(order, "doc_id").limit(sample[0]).unionByName(rows.filter("toxic = 0").orderBy(order, "doc_id").limit(sample[1]))
     # at most sum(sample) rows of two numbers each are broadcast, and as many feature lists come to the driver
-    text = texts(docs).join(F.broadcast(picked), "doc_id")
+    text = cut(texts(docs).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")))
+    lines = (*groups, *found_terms(text))
     kind = text.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, ids array<int>, vals array<float>, delta_ids array<int>, delta array<float>, toxic int"
-    made = cut(text.mapInArrow(sample_rows, schema))
+    schema = f"doc_id {kind}, ids array<int>, vals array<float>, delta_ids array<array<int>>, delta array<array<float>>, toxic int"
+    made = cut(text.mapInArrow(sample_rows(lines), schema))
     n = {x["toxic"]: x["n"] for x in made.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    keep = telling(made, n.get(0, 0), n.get(1, 0))
+    keep = np.union1d(telling(made, n.get(0, 0), n.get(1, 0)), Terms(lines).features())
     made = made.mapInArrow(narrowed(keep), schema).toArrow().sort_by("doc_id")
     toxic = made.column("toxic").to_numpy().astype(int)
     shares = tuple(counts.get(c, 0) / max(1, int((toxic == c).sum())) for c in (0, 1))
-    x, d = (Sparse(made.column(a), made.column(b), keep) for a, b in (("ids", "vals"), ("delta_ids", "delta")))
+    x = Sparse(made.column("ids"), made.column("vals"), keep)
+    swapped = int(pc.sum(pc.greater(pc.list_value_length(made.column("delta_ids")), 0)).as_py() or 0)
+    d = Sparse(pc.list_flatten(made.column("delta_ids")), pc.list_flatten(made.column("delta")), keep)
     del made
-    return fit(keep, x, d, toxic, shares)
+    model = fit(keep, x, d, toxic, shares)
+    model.lines, model.swapped = lines, swapped
+    return model
 
 
-def score(docs: DataFrame, model: Model, *more: str) -> DataFrame:
-    """One row for each row of `docs`: doc_id, score (0 to 1), and the columns named in `more`.
+def score(docs: DataFrame, model: Model, with_row: bool = False) -> DataFrame:
+    """One row for each row of `docs`: doc_id, score (0 to 1), and, if asked for, row: all columns as a struct.
 
-    Null texts get the score of a text without words and stay null; null doc_ids and repeated rows stay.
+    Null and empty texts get the score of a text without words; null doc_ids and repeated rows stay; a very long text is
+    read in one piece, block by block of its batch; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most FEATURES weights
+    sent = docs.sparkSession.sparkContext.broadcast(Model(model.ids, model.weights, model.bias))  # about FEATURES weights
 
     def run(batches):
         table, bias = sent.value.table(), sent.value.bias
         for b in batches:
+            text = b.column("row").field(at) if with_row else b.column("text")
             parts = []
-            for x in kernel.blocks(b.column("text")):
+            for x in kernel.blocks(text):
                 made, before = features(x)
                 row = np.repeat(np.arange(x.hi - x.lo), np.diff(before))
                 keep = table[made] != 0
-                at, _ = np.nonzero(keep)
-                pair, n = np.unique(row[at] * BUCKETS + made[keep], return_counts=True)
+                at_word, _ = np.nonzero(keep)
+                pair, n = np.unique(row[at_word] * BUCKETS + made[keep], return_counts=True)
                 parts.append(np.bincount(pair // BUCKETS, table[pair % BUCKETS] * np.log2(1.0 + n), x.hi - x.lo))
             logit = np.concatenate([*parts, np.zeros(0)]) + bias
             value = pa.array(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("doc_id", *more)], value], ["doc_id", *more, "score"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *([b.column("row")] if with_row else []), value], ["doc_id", *(["row"] if with_row else []), "score"])
 
-    rows = docs.select("doc_id", "text", *[c for c in more if c != "text"])
-    made = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in ("doc_id", *more))
-    return rows.mapInArrow(run, f"{made}, score double")
+    rows, at = docs.select("doc_id", F.struct("*").alias("row") if with_row else F.col("text")), docs.columns.index("text")
+    schema = StructType([rows.schema["doc_id"], *([rows.schema["row"]] if with_row else []), StructField("score", DoubleType())])
+    return rows.mapInArrow(run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: tuple[int, int] = SAMPLE) -> DataFrame:
     """Trains on the labelled rows that are not held out and scores all: doc_id, held_out, score, predicted.
 
-    Without labelled rows of both kinds every score is the same. An empty table gives no rows; columns other than
-    doc_id and text are never read.
+    Null and empty texts are scored as texts without words; null doc_ids are not held out; repeated rows each give a
+    row, very long texts are read whole. Without labelled rows of both kinds every score is the same. An empty table
+    gives no rows; columns other than doc_id and text are never read.
     """
     out = score(docs, train(docs, labels, sample))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
