@@ -67,3 +67,19 @@ def test_odd_rows(spark, tmp_path):
         assert (out.count() > 0) == (df.count() > 0)
 
 
+
+
+CLASHING = ("score", "row", "parts", "all", "top", "kept", "kept_id", "id", "key", "nth", "_row", "_nth", "shard", "block", "a`b", "toxic", "number")
+
+
+def test_columns_of_any_name_stay(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(80)
+    docs = docs.select("*", *[F.lit(f"{k}").alias(c) for k, c in enumerate(CLASHING) if c not in docs.columns])
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        assert [x["a`b"] for x in out.select("`a``b`").distinct().collect()] == [str(CLASHING.index("a`b"))], name
+    assert cp.run(spark, str(tmp_path)).count() > 0

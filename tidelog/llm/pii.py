@@ -1,23 +1,26 @@
 """Personal data: fixed patterns, and a skip-chain conditional random field over what looks like them.
 
 Nodes are the spans of the patterns; in the text between them all other runs of digits and addresses; and the words
-before either, up to CONTEXT of them. A word's label is the kind it announces, or plain. Node potentials come from a
-run's shape or a word's hash. Neighbouring nodes share a chain potential, so that a word bears on the run behind it.
-Nodes with the same key anywhere in the document (the last ten digits, the address in lower case) share a skip potential
-with a pattern span of that key (of each kind there is; else with the key's first node), so a number once written as a
-telephone number is one wherever and however often it stands. Loopy message passing, until messages settle, gives each
-node's label; pattern spans are clamped to theirs and always stay.
-
-All potentials are learned together by pseudo-likelihood, each node given its neighbours' labels, on a bounded sample of
-documents. The patterns give the labels; a run that shares a key with a pattern span, or would match if it stood alone,
-counts as unknown where it is no span itself. Skip weights are learned by withholding: of spans that repeat, one gets the
-shape of its bare key and loses its label, and has to be told by the other.
+before either, up to CONTEXT of them, whose labels (the kind a word announces, or plain) nobody knows. Node potentials
+come from a run's shape or from the word. Neighbours share a chain potential: word and word or run behind it, run and
+run. Nodes with the same key anywhere in the document (the last ten digits, the address in lower case) share a skip
+potential with a pattern span of that key (of each kind there is; else with the key's first node), so a number once
+written as a telephone number is one wherever and however often it stands. Loopy message passing, until messages settle,
+gives each node's label; pattern spans are clamped to theirs and always stay.
+
+All potentials are learned together on a bounded sample of documents, by the likelihood of each run's label given the
+labels of neighbouring runs and of those with its key, summed over the labels of its words. The patterns give the
+labels; a run that shares a key with a pattern span, or would match if it stood alone, counts as unknown where it is no
+span itself. Words, chains and skips also learn by withholding: a run is shown with the shape of its bare key and
+without its label, and the words before it and the other spans of its key have to tell it. Shapes don't learn from these.
+The potential of a word and what stands behind it is the log probability of the word's label given the other's, and words
+that the sample holds too seldom favour no label: so unknown words say nothing.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,7 +45,7 @@ TOKEN = re.compile(r"\S+")
 RUN = re.compile(r"(?<!\w)\+?\(?[0-9][0-9().-]*(?:\x20[(0-9][0-9().-]*){0,7}(?!\w)")
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Documents of the training sample and nodes taken of each, least probability of a span that is added.
-SAMPLE, NODES, SURE = 2000, 2000, 0.6
+SAMPLE, NODES, SURE = 2000, 100, 0.6
 #: Words before a run or span that are nodes, and how far before it they may begin.
 CONTEXT, REACH = 2, 32
 #: The label of a node that is a word; runs have 0 and pattern spans their kind.
@@ -112,10 +115,9 @@ def key(run: str) -> str | None:
 
 CUES = ("tel", "phone", "call", "mobile", "fax", "card", "visa", "ip", "host", "server", "email", "mail", "contact", "no", "number")
 LENGTHS = ((1, 3), (4, 6), (7, 7), (8, 9), (10, 10), (11, 11), (12, 12), (13, 15), (16, 16), (17, 19), (20, 10**9))
-SHAPES = 1 + len(LENGTHS) + 12 + len(CUES)
-#: Buckets of the hash of a word that is a node.
-WORDS = 512
-N_FEATURES = SHAPES + 1 + WORDS
+N_FEATURES = 1 + len(LENGTHS) + 12 + len(CUES)
+#: Words with potentials of their own: the most frequent ones that stand before a run in at least OFTEN documents.
+WORDS, OFTEN = 500, 5
 
 
 def shape(text: str, lo: int, hi: int) -> list[int]:
@@ -141,11 +143,6 @@ def bare(run: str, label: int) -> list[int]:
     return [0, *(1 + k for k, (a, b) in enumerate(LENGTHS) if a <= n <= b)] + ([1 + len(LENGTHS)] if label == 1 else [])
 
 
-def seen(text: str, label: int, lo: int, hi: int) -> list[int]:
-    """The features of a node."""
-    return [SHAPES, SHAPES + 1 + zlib.crc32(text[lo:hi].lower().encode()) % WORDS] if label == WORD else shape(text, lo, hi)
-
-
 def runs_between(text: str, at: int, end: int, keys: set):
     """Runs of digits and addresses in a part of the text that no pattern span covers."""
     marks, edge = [], at
@@ -202,7 +199,7 @@ def nodes(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, i
 
 def edges(text: str, found: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """(chain, skip): nodes next to each other, and nodes with the same key, as stars around its pattern spans."""
-    chain = [(i - 1, i) for i in range(1, len(found)) if 0 <= found[i][1] - found[i - 1][2] <= 3]
+    chain = [(i - 1, i) for i in range(1, len(found)) if 0 <= found[i][1] - found[i - 1][2] <= 3 and (found[i - 1][0] == WORD or found[i][0] != WORD)]
     keys = [None if label == WORD else key(text[lo:hi]) for label, lo, hi in found]
     centres: dict[str, dict[int, int]] = {}  # key -> label -> its first pattern span
     for i, (label, _, _) in enumerate(found):
@@ -217,16 +214,26 @@ def edges(text: str, found: list[tuple[int, int, int]]) -> tuple[list[tuple[int,
 
 @dataclass
 class Field:
-    """Weights: feature x label, label x label of neighbours, and of equal keys."""
+    """Weights: feature x label of runs, word x label (the last row, zeros, for all other words), label x label of a word
+    and what stands behind it, of neighbouring runs, and of equal keys (any label agrees as well); and the words' rows."""
 
     node: np.ndarray
-    chain: np.ndarray
+    word: np.ndarray
+    cue: np.ndarray
+    pair: np.ndarray
     skip: np.ndarray
+    words: dict[str, int]
+
+    def row(self, word: str) -> int:
+        return self.words.get(word.lower(), len(self.word) - 1)
 
+    def potential(self, text: str, label: int, lo: int, hi: int) -> np.ndarray:
+        return self.word[self.row(text[lo:hi])] if label == WORD else self.node[shape(text, lo, hi)].sum(axis=0)
 
-def infer(field: Field, features: list[list[int]], fixed: list[int], chain, skip) -> np.ndarray:
+
+def infer(field: Field, potentials: list[np.ndarray], fixed: list[int], chain, skip) -> np.ndarray:
     """Beliefs, one row of label probabilities for each node, by loopy sum-product message passing."""
-    theta = np.array([field.node[on].sum(axis=0) for on in features])
+    theta = np.array(potentials)
     for i, label in enumerate(fixed):
         if label > 0:
             theta[i] = -1e9  # however many repeats lean the other way
@@ -235,8 +242,9 @@ def infer(field: Field, features: list[list[int]], fixed: list[int], chain, skip
     a = np.array([p[0] for p in pairs] + [p[1] for p in pairs], int)
     b = np.array([p[1] for p in pairs] + [p[0] for p in pairs], int)
     back = np.concatenate([np.arange(n, 2 * n), np.arange(n)])
-    psi = np.array([field.chain, field.chain.T, field.skip])
-    kind = np.array([0] * len(chain) + [2] * len(skip) + [1] * len(chain) + [2] * len(skip), int)
+    psi = np.array([field.cue, field.pair, field.skip, field.cue.T, field.pair.T, field.skip.T])
+    kind = np.array([0 if fixed[i] == WORD else 1 for i, _ in chain] + [2] * len(skip), int)
+    kind = np.concatenate([kind, kind + 3])
     message = np.zeros((2 * n, LABELS))
     for _ in range(SWEEPS if n else 0):
         belief = theta.copy()
@@ -266,7 +274,10 @@ def all_spans(text: str, field: Field) -> list[tuple[int, int, int, bool]]:
     found = nodes(text, base)
     out = [(*s, True) for s in base]
     if len(found) > len(base):
-        belief = infer(field, [seen(text, *s) for s in found], [s[0] for s in found], *edges(text, found))
+        often = Counter(text[lo:hi].lower() for label, lo, hi in found if not label)
+        # equal runs are one piece of evidence, however often they stand
+        theta = [field.potential(text, *s) / (1 if s[0] else often[text[s[1] : s[2]].lower()]) for s in found]
+        belief = infer(field, theta, [s[0] for s in found], *edges(text, found))
         for (label, lo, hi), p in zip(found, belief, strict=True):
             best = int(p.argmax())
             if not label and best and p[best] >= SURE:
@@ -274,75 +285,116 @@ def all_spans(text: str, field: Field) -> list[tuple[int, int, int, bool]]:
     return sorted(out)
 
 
-def examples(text: str) -> list[tuple[list[int], int, list[int], list[int], list[int]]]:
-    """Training rows of a text: (features, label, labels of the nodes before, of those behind, of those with its key).
+def examples(text: str) -> list[tuple]:
+    """Training rows of a text: (features, label, words, labels of the runs before, behind, of those with the key, withheld).
 
-    Nodes whose label is unknown are no rows and no neighbours. A word's label is that of the run it stands before. Of
-    spans that repeat, the later ones also give a withheld row: the features of the bare key, the label of the first.
+    Runs whose label is unknown are no rows and no neighbours. words: what stands before the run, as far as one is
+    chained to the next, nearest last. Each gives a withheld row too, with the label of another span of its key if it has
+    one.
     """
     base = base_spans(text)
-    found = nodes(text, base)[:NODES]
+    found = nodes(text, base)
     own = {key(text[lo:hi]) for _, lo, hi in base} - {None}
-    labels = [s[0] if s[0] > 0 or s[0] == WORD else -1 if key(text[s[1] : s[2]]) in own or base_spans(text[s[1] : s[2]]) else 0 for s in found]
-    known = [x if f[0] != WORD else None for x, f in zip(labels, found, strict=True)]
-    for i in range(len(found) - 1, -1, -1):
-        if known[i] is None:
-            known[i] = known[i + 1] if i + 1 < len(found) else -1
+    label = [s[0] if s[0] else -2 if key(text[s[1] : s[2]]) in own or base_spans(text[s[1] : s[2]]) else 0 for s in found]
     chain, skip = edges(text, found)
-    before, behind = [[] for _ in found], [[] for _ in found]
-    for a, b in chain:
-        if known[a] >= 0 and known[b] >= 0:
-            behind[a].append(known[b])
-            before[b].append(known[a])
-    out = [(seen(text, *s), y, before[i], behind[i], []) for i, (s, y) in enumerate(zip(found, known, strict=True)) if y >= 0]
+    left = {b: a for a, b in chain}
+    right = {a: b for a, b in chain}
+    same: dict[int, int] = {}
     for c, i in skip:
-        if found[c][0] > 0 and found[c][0] == found[i][0]:
-            out.append((bare(text[found[i][1] : found[i][2]], found[i][0]), found[i][0], before[i], behind[i], [found[c][0]]))
+        if label[c] == label[i] >= 0:
+            same[i], same[c] = label[c], label[i]
+    out = []
+    for i, (y, (_, lo, hi)) in enumerate(zip(label, found, strict=True)):
+        if y < 0:
+            continue
+        words, at = [], i
+        while at in left and label[left[at]] == WORD:
+            at = left[at]
+            words.insert(0, text[found[at][1] : found[at][2]].lower())
+        before = [label[left[i]]] if i in left and label[left[i]] >= 0 else []
+        behind = [label[right[i]]] if i in right and label[right[i]] >= 0 else []
+        out.append((shape(text, lo, hi), y, words[-CONTEXT:], before, behind, [], False))
+        out.append((bare(text[lo:hi], y), y, words[-CONTEXT:], before, behind, [same[i]] if i in same else [], True))
+        if len(out) >= NODES:
+            break
     return out
 
 
+FIELDS = ("on", "y", "words", "before", "behind", "same", "withheld")
+
+
 def node_rows(batches):
-    kinds = pa.list_(pa.struct([("on", pa.list_(pa.int32())), ("y", pa.int32()), ("before", pa.list_(pa.int32())), ("behind", pa.list_(pa.int32())), ("same", pa.list_(pa.int32()))]))
+    ints = pa.list_(pa.int32())
+    kinds = pa.list_(pa.struct([("on", ints), ("y", pa.int32()), ("words", pa.list_(pa.string())), ("before", ints), ("behind", ints), ("same", ints), ("withheld", pa.bool_())]))
     for b in batches:
-        made = [[dict(zip(("on", "y", "before", "behind", "same"), x, strict=True)) for x in examples(t)] for t in b.column("text").to_pylist()]
+        made = [[dict(zip(FIELDS, x, strict=True)) for x in examples(t)] for t in b.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(made, kinds)], ["doc_id", "rows"])
 
 
 #: What no sample may show: spans of each kind, plain numbers, and a repeat of each kind.
 PRIOR = [("+1 (555) 555-0100", 4), ("192.168.0.1", 2), ("4111111111111111", 3), ("a.b@example.com", 1)]
-PRIOR_PLAIN = ("1", "12", "2024", "3.14", "123456", "12345678", "1234567890", "1.2.3", "4111111111111112")
-#: Share of the withheld rows in the fit, steps, rate, weight of the squares.
-WITHHELD, STEPS, RATE, RIDGE = 0.25, 600, 2.0, 1e-5
-
-
-def fit(rows: list[tuple]) -> Field:
-    """Pseudo-likelihood of all rows: features, and counts of labels before, behind and of the same key, are the inputs
-    of one multinomial regression; what stands before b as a is the same weight as what stands behind a as b."""
-    prior = [(shape(x, 0, len(x)), k, [], [], []) for x, k in PRIOR * 2] + [(shape(x, 0, len(x)), 0, [], [], []) for x in PRIOR_PLAIN]
-    rows = [*rows, *prior, *[(bare(x, k), k, [], [], [k]) for x, k in PRIOR]]
-    at = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    on = np.array([f for r in rows for f in r[0]], int)
+PRIOR_PLAIN = ("1", "12", "2024", "3.14", "123456", "1234567", "12345678", "1234567890", "12345678901", "123456789012", "12345678901234", "1.2.3", "4111111111111112", "12-34", "2024-01-15", "12-345-678-90", "978-3-16-148410-0")
+#: Shares of the withheld and of the prior rows in the fit, steps, rate, weight of the squares.
+WITHHELD, PRIOR_SHARE, STEPS, RATE, RIDGE = 0.3, 0.1, 500, 2.0, 1e-4
+
+
+def through(a: np.ndarray, psi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The message log sum over y of exp(a[y] + psi[y, k]) for each row, and its derivative by a[y] at each k."""
+    z = a[:, :, None] + psi
+    top = z.max(axis=1, keepdims=True)
+    e = np.exp(z - top)
+    total = e.sum(axis=1, keepdims=True)
+    return (np.log(total) + top)[:, 0, :], e / total
+
+
+def normed(free: np.ndarray) -> np.ndarray:
+    """Log probabilities in each column."""
+    e = np.exp(free - free.max(axis=0))
+    return np.log(e / e.sum(axis=0))
+
+
+def fit(documents: list[list[tuple]]) -> Field:
+    """Gradient descent on the rows of all documents."""
+    held_by = Counter(w for rows in documents for w in {w for r in rows for w in r[2]})
+    words = {w: k for k, (w, n) in enumerate(sorted(held_by.items(), key=lambda x: (-x[1], x[0]))[:WORDS]) if n >= OFTEN}
+    prior = [(shape(x, 0, len(x)), k, [], [], [], [], False) for x, k in PRIOR * 2] + [(shape(x, 0, len(x)), 0, [], [], [], [], False) for x in PRIOR_PLAIN]
+    rows = [*prior, *[r for rs in documents for r in rs], *[(bare(x, k), k, [], [], [], [k], True) for x, k in PRIOR]]
+    at, on = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows]), np.array([f for r in rows for f in r[0]], int)
     target = np.eye(LABELS)[[r[1] for r in rows]]
-    counts = np.zeros((3, len(rows), LABELS))
-    for i, r in enumerate(rows):
-        for k in range(3):
-            for y in r[2 + k]:
-                counts[k, i, y] += 1
-    before, behind, same = counts
-    held = same.sum(axis=1) > 0
-    weight = np.where(held, WITHHELD / max(1, held.sum()), (1 - WITHHELD) / max(1, (~held).sum()))[:, None]
-    w, chain, skip = np.zeros((N_FEATURES, LABELS)), np.zeros((LABELS, LABELS)), np.zeros(LABELS)
+    before, behind, same = (np.array([np.bincount(r[k], minlength=LABELS) for r in rows], float) for k in (3, 4, 5))
+    withheld = np.array([r[6] for r in rows])
+    kind = np.where(withheld, 1, np.where(np.arange(len(rows)) < len(prior), 2, 0))
+    weight = (np.array([1 - WITHHELD - PRIOR_SHARE, WITHHELD, PRIOR_SHARE]) / np.maximum(1, np.bincount(kind, minlength=3)))[kind][:, None]
+    near = [np.array([words.get(r[2][-k], len(words)) if len(r[2]) >= k else -1 for r in rows], int) for k in (1, 2)]
+    has = [np.flatnonzero(x >= 0) for x in near]
+    node, word, free, pair, skip = np.zeros((N_FEATURES, LABELS)), np.zeros((len(words) + 1, LABELS)), 2 * np.eye(LABELS), np.zeros((LABELS, LABELS)), 0.0
     for _ in range(STEPS):
-        z = before @ chain + behind @ chain.T + same * skip
-        np.add.at(z, at, w[on])
+        cue = normed(free)
+        z = before @ pair + behind @ pair.T + same * skip
+        np.add.at(z, at, node[on])
+        far, d_far = through(word[near[1][has[1]]], cue)
+        own = np.zeros_like(z)
+        own[has[0]] = word[near[0][has[0]]]
+        own[has[1]] += far
+        out, d_out = through(own[has[0]], cue)
+        z[has[0]] += out
         p = np.exp(z - z.max(axis=1, keepdims=True))
         g = weight * (p / p.sum(axis=1, keepdims=True) - target)
-        back = np.zeros_like(w)
-        np.add.at(back, on, g[at])
-        w -= RATE * (back + RIDGE * w)
-        chain -= RATE * (before.T @ g + g.T @ behind + RIDGE * chain)
-        skip -= RATE * ((same * g).sum(axis=0) + RIDGE * skip)
-    return Field(w, chain, np.diag(skip))
+        by_shape = np.zeros_like(node)
+        np.add.at(by_shape, on, (g * ~withheld[:, None])[at])
+        by_own = np.zeros_like(z)
+        by_own[has[0]] = np.einsum("iyk,ik->iy", d_out, g[has[0]])
+        by_cue = np.einsum("iyk,ik->yk", d_out, g[has[0]]) + np.einsum("iyk,ik->yk", d_far, by_own[has[1]])
+        by_word = np.zeros_like(word)
+        np.add.at(by_word, near[0][has[0]], by_own[has[0]])
+        np.add.at(by_word, near[1][has[1]], np.einsum("iyk,ik->iy", d_far, by_own[has[1]]))
+        node -= RATE * (by_shape + RIDGE * node)
+        by_word[-1] = 0
+        word -= RATE * (by_word + RIDGE * word)
+        free -= RATE * (by_cue - np.exp(cue) * by_cue.sum(axis=0) + RIDGE * free)
+        pair -= RATE * (before.T @ g + g.T @ behind + RIDGE * pair)
+        skip -= RATE * ((same * g).sum() + RIDGE * skip)
+    return Field(node, word, normed(free), pair, skip * np.eye(LABELS), words)
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Field:
@@ -353,9 +405,9 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Field:
     picked = marked.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(sample)
     one = marked.join(F.broadcast(picked), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     kind = one.schema["doc_id"].dataType.simpleString()
-    made = one.mapInArrow(node_rows, f"doc_id {kind}, rows array<struct<on: array<int>, y: int, before: array<int>, behind: array<int>, same: array<int>>>")
-    rows = sorted(made.collect(), key=lambda x: x["doc_id"])  # of at most `sample` documents, NODES nodes each
-    return fit([(r["on"], r["y"], r["before"], r["behind"], r["same"]) for x in rows for r in x["rows"]])
+    made = one.mapInArrow(node_rows, f"doc_id {kind}, rows array<struct<on: array<int>, y: int, words: array<string>, before: array<int>, behind: array<int>, same: array<int>, withheld: boolean>>")
+    rows = sorted(made.collect(), key=lambda x: x["doc_id"])  # of at most `sample` documents, about NODES rows each
+    return fit([[tuple(r[f] for f in FIELDS) for r in x["rows"]] for x in rows])
 
 
 SPANS = "array<struct<kind: string, start: long, end: long, base: boolean>>"
@@ -381,7 +433,11 @@ def find_pii(docs: DataFrame, field: Field) -> DataFrame:
 
 
 def redact(docs: DataFrame, field: Field) -> DataFrame:
-    """`docs`, column by column, with each span of the text replaced by its kind in brackets; a null text stays null."""
+    """`docs`, column by column, with each span of the text replaced by its kind in brackets.
+
+    A null text stays null and an empty one empty; null doc_ids and repeated rows stay; very long texts are searched in
+    time that follows their length; columns of any name stay as they are; an empty table stays empty.
+    """
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(field)
     at = docs.columns.index("text")
@@ -398,10 +454,14 @@ def redact(docs: DataFrame, field: Field) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            new = pa.array([clean(t) for t in b.column(at).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([new if k == at else c for k, c in enumerate(b.columns)], b.schema.names)
-
-    return docs.mapInArrow(run, docs.schema)
+            row = b.column("row")
+            new = pa.array([clean(t) for t in row.field(at).to_pylist()], pa.string())
+            fields = [new if k == at else row.field(k) for k in range(row.type.num_fields)]
+            kinds = [pa.field(f.name, new.type if k == at else f.type, f.nullable) for k, f in enumerate(row.type)]
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(fields, fields=kinds)], ["row"])
+
+    rows = docs.select(F.struct("*").alias("row"))
+    return rows.mapInArrow(run, rows.schema).select("row.*")
 
 
 def joined(spans: Column) -> Column:
