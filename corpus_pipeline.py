@@ -14,33 +14,55 @@ from tidelog.llm.common import shared_folder, unique
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on the labels of this folder, rejects are gone."""
+    """Documents that the classifier, trained on the labels of this folder, rejects are gone.
+
+    Null and empty texts are scored as texts without words; null doc_ids and repeated rows are judged each for itself;
+    very long texts are read whole; ties and columns of any name stay as they are; an empty table stays empty.
+    """
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.score(docs, model, *[c for c in docs.columns if c != "doc_id"])
-    return scored.filter(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+    return toxicity.score(docs, model, with_row=True).filter(F.col("score") < toxicity.THRESHOLD).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near-duplicates stays, once."""
-    kept = neardup.near_duplicates(docs, shingle=5, num=80, den=100).filter("kept").select(F.col("doc_id").alias("_doc"))
-    rows = docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["_doc"]), "left_semi")
-    equal = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
-    return rows.withColumn("_nth", F.row_number().over(equal)).filter("_nth = 1").select(*docs.columns)
+    """The document with the smallest doc_id of each group of near-duplicates stays, once.
+
+    Null and empty texts are linked with nothing and stay; a null doc_id is the smallest of its group; of rows that
+    agree in doc_id and text one stays, whichever; very long texts are compared whole; columns of any name stay as they
+    are; an empty table stays empty.
+    """
+    kept = neardup.near_duplicates(docs, shingle=5, num=80, den=100).filter("kept").select(F.col("doc_id").alias("kept_id"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"))
+    rows = rows.join(kept.hint("merge"), F.col("id").eqNullSafe(F.col("kept_id")), "left_semi")
+    equal = Window.partitionBy("id", "key").orderBy(F.lit(0))
+    return rows.withColumn("nth", F.row_number().over(equal)).filter("nth = 1").select("row.*")
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every span of personal data is replaced by its kind; n_chars follows the text."""
+    """Every span of personal data is replaced by its kind; n_chars, where it is a column, follows the text.
+
+    Null texts stay null and empty ones empty; null doc_ids and repeated rows stay; very long texts are read whole;
+    columns of any name stay as they are; an empty table stays empty.
+    """
     clean = pii.redact(docs, pii.train(docs))
-    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights: documents in whole or in part, some more than once."""
+    """Sources at their target weights: documents in whole or in part, some more than once.
+
+    Texts without words (null, empty) can fill no block and don't return; a null source is the last one; null doc_ids,
+    repeated rows and very long texts are documents like others; columns of any name stay as they are; an empty table
+    stays empty.
+    """
     return mixing.mixed_texts(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of the documents' tokens in sequences of 2048."""
+    """Places of the documents' tokens in sequences of 2048, one row a piece.
+
+    Null and empty texts are the final 0 alone; null doc_ids and repeated rows are packed each for itself; very long
+    texts are cut into full pieces; other columns are not read; an empty table gives no rows.
+    """
     return packing.pack(docs, capacity=2048)
 
 
