@@ -19,8 +19,8 @@ def one_of(c, known: tuple[str, ...]) -> Column:
 
 
 def codec_of(attributes) -> Column:
-    """Bits 0 to 2 of a batch's attributes."""
-    return F.element_at(F.array(*[F.lit(x) for x in CODECS]), F.least(_col(attributes).bitwiseAND(7) + 1, F.lit(3)))
+    """Bits 0 to 2 of a batch's attributes; the reserved ones, 3 to 7, name no codec (null)."""
+    return F.get(F.array(*[F.lit(x) for x in CODECS]), _col(attributes).bitwiseAND(7).cast("int"))
 
 
 def is_transactional(attributes) -> Column:

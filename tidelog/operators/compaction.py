@@ -29,16 +29,21 @@ def purged_keys(records: DataFrame, now_ms: int, retention_ms: int) -> DataFrame
 
 
 def judged(records: DataFrame, now_ms: int | None = None, retention_ms: int | None = None) -> DataFrame:
-    """Adds survives, for records with is_active_segment: active ones do; older ones if they have no key or are their key's latest and it isn't purged."""
+    """Adds survives, for records with is_active_segment: active ones do; older ones if they have no key or are their key's latest and it isn't purged.
+
+    Records without a key are in no join. A hot key meets one row of the other side, so a skew join may split it.
+    """
+    keyless = records.filter("key is null").withColumn("survives", F.lit(True))
+    records = records.filter("key is not null")
     x = records.join(latest_offsets(records), [*TP, "key"], "left")
-    keep = F.col("key").isNull() | (F.col("log_offset") == F.col("latest"))
+    keep = F.col("log_offset") == F.col("latest")
     if "is_control" in records.columns:
         keep = keep | F.col("is_control")
     if retention_ms is not None:
         gone = purged_keys(records, now_ms, retention_ms).withColumn("_purged", F.lit(True))
         x = x.join(gone, [*TP, "key"], "left")
-        keep = keep & (F.col("_purged").isNull() | F.col("key").isNull())
-    return x.withColumn("survives", F.col("is_active_segment") | keep).drop("latest", "_purged")
+        keep = keep & F.col("_purged").isNull()
+    return x.withColumn("survives", F.col("is_active_segment") | keep).drop("latest", "_purged").unionByName(keyless)
 
 
 def dirty_ratios(judged_records: DataFrame) -> DataFrame:

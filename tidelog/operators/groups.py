@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.operators.log import TP
+from tidelog.operators.ranking import sequence_numbers
 
 
 def committed_offsets(commits: DataFrame) -> DataFrame:
@@ -13,12 +14,57 @@ def committed_offsets(commits: DataFrame) -> DataFrame:
     return commits.groupBy("group_id", *TP).agg(F.max_by("log_offset", "commit_seq").alias("log_offset"))
 
 
-def lag(offsets: DataFrame, ends: DataFrame) -> DataFrame:
-    """Offsets still to process: from committed + 1, or 0 without a commit, to the end."""
-    x = offsets.join(F.broadcast(ends.select(*TP, "leo")), TP)
+def committed_with_metadata(commits: DataFrame) -> DataFrame:
+    """As committed_offsets, with what the last commit said beside its offset (no metadata is the empty string)."""
+    last = F.max_by(F.struct("log_offset", F.coalesce("metadata", F.lit("")).alias("metadata")), "commit_seq")
+    return commits.groupBy("group_id", *TP).agg(last.alias("_last")).select("group_id", *TP, "_last.*")
+
+
+def lag(offsets: DataFrame, ends: DataFrame, subscribed: DataFrame | None = None) -> DataFrame:
+    """Offsets still to process: from committed + 1, or from 0 where a group subscribed to (group_id, topic, partition)
+    has no commit, to the end."""
+    x = offsets if subscribed is None else subscribed.select("group_id", *TP).join(offsets, ["group_id", *TP], "left")
+    x = x.join(ends.select(*TP, "leo"), TP)
     return x.withColumn("lag", F.col("leo") - F.coalesce(F.col("log_offset") + 1, F.lit(0)))
 
 
+def alive(members: DataFrame, now_ms: int) -> DataFrame:
+    """Members whose session has not timed out: what a group is pruned to before it is listed or described."""
+    return members.filter(F.lit(now_ms) - F.col("last_heartbeat_ms") <= F.col("session_timeout_ms"))
+
+
+def list_groups(members: DataFrame, now_ms: int) -> DataFrame:
+    """All groups, those that lost every member included, with the number of members left."""
+    here = alive(members, now_ms).groupBy("group_no").agg(F.count(F.lit(1)).alias("n_members"))
+    return members.select("group_no").distinct().join(here, "group_no", "left").fillna(0, ["n_members"])
+
+
+def describe_groups(members: DataFrame, assignment: DataFrame, now_ms: int) -> DataFrame:
+    """Each living member with its partitions in order (none: an empty list) and its group's state."""
+    own = assignment.groupBy("group_no", "member_id").agg(F.array_sort(F.collect_list("partition")).alias("partitions"))
+    x = alive(members, now_ms).select("group_no", "member_id").join(own, ["group_no", "member_id"], "left")
+    x = x.withColumn("partitions", F.coalesce("partitions", F.expr("cast(array() as array<bigint>)")))
+    return list_groups(members, now_ms).join(x, "group_no", "left").withColumn("state", F.when(F.col("n_members") > 0, "Stable").otherwise("Empty")).drop("n_members")
+
+
+def static_members(joins: DataFrame) -> DataFrame:
+    """The member that holds each instance id: a rejoin (group_no, instance_id, seq) gets a new member id, instance-seq,
+    with seq counted by group, and takes the place of the one before."""
+    x = sequence_numbers(joins, ["group_no"], "seq", "_no").withColumn("_no", F.col("_no") + 1)
+    last = F.max_by(F.struct("_no", "seq"), "seq")
+    x = x.groupBy("group_no", "instance_id").agg(last.alias("l"), F.count(F.lit(1)).alias("joins"))
+    return x.select("group_no", "instance_id", F.concat_ws("-", "instance_id", F.col("l._no").cast("string")).alias("member_id"), "joins")
+
+
+def synced(requests: DataFrame, members: DataFrame, assignment: DataFrame) -> DataFrame:
+    """What each request (request_id, group_no, member_id) for an assignment gets: its partitions, none if it has none,
+    or unknown_member."""
+    own = assignment.groupBy("group_no", "member_id").agg(F.array_sort(F.collect_list("partition")).alias("partitions"))
+    x = requests.join(members.select("group_no", "member_id", F.lit(True).alias("_known")), ["group_no", "member_id"], "left").join(own, ["group_no", "member_id"], "left")
+    none = F.expr("cast(array() as array<bigint>)")
+    return x.withColumn("error", F.when(F.col("_known").isNull(), "unknown_member")).withColumn("partitions", F.when(F.col("_known"), F.coalesce("partitions", none)).otherwise(none)).drop("_known")
+
+
 def evictions(members: DataFrame, now_ms: int, max_poll_ms: int) -> DataFrame:
     """Members a group loses, with the reason: a session that timed out, or no progress for too long."""
     reason = F.when(F.lit(now_ms) - F.col("last_heartbeat_ms") > F.col("session_timeout_ms"), "session_timeout")

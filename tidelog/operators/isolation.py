@@ -44,7 +44,7 @@ def committed_read(records: DataFrame, transactions: DataFrame, ends: DataFrame,
     """
     x = up_to_high_watermark(records.filter(~F.col("is_control")), ends)
     lso = last_stable_offsets(transactions)
-    x = x.join(F.broadcast(lso), TP, "left").filter("lso is null or log_offset < lso").drop("lso")  # one row a partition
+    x = x.join(lso, TP, "left").filter("lso is null or log_offset < lso").drop("lso")
     if by_producer:
         ranges = transactions.filter("status = 'Aborted'").select(*TP, "producer_id", "first_offset", "last_offset").distinct()
         return outside(x, ranges, [*TP, "producer_id"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.operators.ranking import floor_join, running_max, running_sum, sequence_numbers
+from tidelog.operators.ranking import WIDTH, ceiling_join, floor_join, reached, running_max, running_sum, sequence_numbers
 
 TP = ["topic", "partition"]
 
@@ -20,7 +20,7 @@ def append(rows: DataFrame, arrival: str, ends: DataFrame | None = None) -> Data
 
 def up_to_high_watermark(records: DataFrame, ends: DataFrame) -> DataFrame:
     """Only records below their partition's hw; ends has a row a partition."""
-    return records.join(F.broadcast(ends.select(*TP, "hw")), TP).filter("log_offset < hw").drop("hw")
+    return records.join(ends.select(*TP, "hw"), TP).filter("log_offset < hw").drop("hw")
 
 
 def fetch_range(records: DataFrame, start: int, stop: int, ends: DataFrame | None = None) -> DataFrame:
@@ -31,7 +31,7 @@ def fetch_range(records: DataFrame, start: int, stop: int, ends: DataFrame | Non
 
 def fetch_batches(batches: DataFrame, start: int, max_bytes: int, ends: DataFrame) -> DataFrame:
     """Whole batches from the one that holds `start` on, below hw, as many as fit; the first one in any case."""
-    x = batches.filter(F.col("last_offset") >= start).join(F.broadcast(ends.select(*TP, "hw")), TP).filter("last_offset < hw").drop("hw")
+    x = batches.filter(F.col("last_offset") >= start).join(ends.select(*TP, "hw"), TP).filter("last_offset < hw").drop("hw")
     x = running_sum(x, TP, "base_offset", "size_bytes", "_total")
     return x.filter((F.col("_total") <= max_bytes) | (F.col("_total") == F.col("size_bytes"))).drop("_total")
 
@@ -56,14 +56,26 @@ def offset_for_time(records: DataFrame, targets: DataFrame, ends: DataFrame) ->
     peaks = running_max(records.select(*TP, "log_offset", "ts_ms"), TP, "log_offset", "ts_ms", "_before", include=False)
     peaks = peaks.filter(F.col("_before").isNull() | (F.col("ts_ms") > F.col("_before"))).select(*TP, (-F.col("ts_ms")).alias("_neg"), "log_offset")
     asked = targets.withColumn("_want", -F.col("target_ms"))
-    found = floor_join(asked, peaks, TP, "_want", "_neg", ["log_offset"], width=1 << 36)
-    return found.join(F.broadcast(ends.select(*TP, "leo")), TP).select(*TP, "target_ms", F.coalesce("log_offset", "leo").alias("log_offset"))
+    lo, hi, n = records.agg(F.min("ts_ms"), F.max("ts_ms"), F.count(F.lit(1))).first()
+    width = max(1, (hi - lo) * WIDTH // n) if n else 1  # about WIDTH records a run
+    found = floor_join(asked, peaks, TP, "_want", "_neg", ["log_offset"], width)
+    return found.join(ends.select(*TP, "leo"), TP).select(*TP, "target_ms", F.coalesce("log_offset", "leo").alias("log_offset"))
 
 
 def sparse_index(records: DataFrame, every: int) -> DataFrame:
     return records.filter(F.col("log_offset") % every == 0).select(*TP, F.col("log_offset").alias("index_offset"), "ts_ms")
 
 
+def byte_index(batches: DataFrame, interval: int) -> DataFrame:
+    """The batches (topic, partition, base_offset, size_bytes) that get an index entry: the first of each partition, and
+    each that comes when `interval` bytes or more have been written since the last entry."""
+    x = running_sum(batches, TP, "base_offset", "size_bytes", "_upto").withColumn("_before", F.col("_upto") - F.col("size_bytes"))
+    x = x.withColumn("_due", F.col("_before") + F.lit(interval))
+    nxt = ceiling_join(x.select(*TP, "base_offset", "_before", "_due"), x.select(*TP, "_before", F.col("base_offset").alias("_next")), TP, "_due", "_before", ["_next"], WIDTH * 64)
+    entries = reached(nxt, TP, "base_offset", "_next", "_before = 0")
+    return batches.join(entries, [*TP, "base_offset"], "left_semi")
+
+
 def seek(targets: DataFrame, index: DataFrame) -> DataFrame:
     """The nearest index entry at or before each target offset."""
     return floor_join(targets, index, TP, "log_offset", "index_offset", ["index_offset"])
@@ -78,14 +90,21 @@ def end_offsets(records: DataFrame, partitions: DataFrame | None = None) -> Data
 
 
 def classify_appends(batches: DataFrame, arrival: str) -> DataFrame:
-    """What a replica says to each batch as it arrives: appended, already_applied or gap.
+    """What a replica says to each batch as it arrives (whole numbers, distinct in a partition): appended if it begins
+    where the log ends, already_applied if it ends before that, else gap (it begins later, or straddles the end).
 
-    Batches that neither continue nor repeat the log leave its end where it was.
+    Only an appended batch moves the end. So the appended ones are a path: from the first arrival at offset 0 to the
+    first later arrival that begins behind it, and so on.
     """
-    x = running_max(batches, TP, arrival, "last_offset", "_end", include=False)
-    end = F.coalesce("_end", F.lit(-1))
-    verdict = F.when(F.col("last_offset") <= end, "already_applied").when(F.col("base_offset") <= end + 1, "appended").otherwise("gap")
-    return x.withColumn("verdict", verdict).drop("_end")
+    x = batches.withColumn("_end", F.col("last_offset") + 1)
+    begins = x.select(*TP, F.col("base_offset").alias("_end"), arrival, F.col(arrival).alias("_next"))
+    links = ceiling_join(x.select(*TP, "_end", "base_offset", arrival), begins, [*TP, "_end"], arrival, arrival, ["_next"])
+    first = links.filter("base_offset = 0").groupBy(*TP).agg(F.min(arrival).alias(arrival), F.lit(True).alias("_first"))
+    path = reached(links.join(first, [*TP, arrival], "left"), TP, arrival, "_next", "_first").withColumn("_on", F.lit(True))
+    x = x.join(path, [*TP, arrival], "left").withColumn("_moved", F.when(F.col("_on"), F.col("_end")))
+    x = running_max(x, TP, arrival, "_moved", "_log_end", include=False)
+    verdict = F.when(F.col("_on"), "appended").when(F.col("last_offset") < F.coalesce("_log_end", F.lit(0)), "already_applied").otherwise("gap")
+    return x.withColumn("verdict", verdict).drop("_end", "_on", "_moved", "_log_end")
 
 
 def append_markers(transactions: DataFrame, ends: DataFrame) -> DataFrame:

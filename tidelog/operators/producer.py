@@ -62,10 +62,22 @@ def idempotent_fold(attempts: DataFrame) -> DataFrame:
     return dealt.mapInPandas(fold, f"{kinds}, verdict string")
 
 
-def fenced(requests: DataFrame) -> DataFrame:
-    """Requests (transactional_id, epoch, ...) whose epoch isn't the newest of their id."""
-    newest = requests.groupBy("transactional_id").agg(F.max("epoch").alias("_newest"))
-    return requests.join(newest, "transactional_id").filter("epoch <> _newest").drop("_newest")
+def judged_requests(requests: DataFrame, arrival: str) -> DataFrame:
+    """Adds verdict to requests (transactional_id, epoch, is_init) in the order of arrival: an init sets the id's epoch;
+    any other request is ok with the epoch that is current when it comes, fenced with another one, and unknown before
+    the first init."""
+    x = requests.withColumn("_set", F.when(F.col("is_init"), F.col("epoch")))
+    x = running_max(x, ["transactional_id"], arrival, "_set", "_current", include=False)  # epochs only rise
+    verdict = F.when(F.col("is_init"), "init").when(F.col("_current").isNull(), "unknown").when(F.col("epoch") == F.col("_current"), "ok").otherwise("fenced")
+    return x.withColumn("verdict", verdict).drop("_set", "_current")
+
+
+def duplicate_answers(judged: DataFrame) -> DataFrame:
+    """For attempts with verdict and, where accepted, last_offset: adds answer, the offset a producer is told, which for
+    a duplicate is that of its last accepted batch."""
+    x = judged.withColumn("_took", F.when(F.col("verdict") == "accepted", F.col("last_offset")))
+    x = running_max(x, ["producer_id"], "arrival", "_took", "_last")  # offsets rise with arrival
+    return x.withColumn("answer", F.when(F.col("verdict").isin("accepted", "duplicate"), F.col("_last"))).drop("_took", "_last")
 
 
 def latest_status(changes: DataFrame) -> DataFrame:

@@ -9,11 +9,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.sources.shared import cut
+
 WIDTH = 1 << 17
 
 
-def _run(order: str, width: int):
-    return F.floor(F.col(order) / width)
+def _run(order: str | list[str], width: int):
+    return F.floor(F.col(_first(order)) / width)
+
+
+def _first(order: str | list[str]) -> str:
+    return order if isinstance(order, str) else order[0]
+
+
+def _all(order: str | list[str]) -> list[str]:
+    return [order] if isinstance(order, str) else order
 
 
 def _joined(rows: DataFrame, runs: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
@@ -33,25 +43,26 @@ def sequence_numbers(rows: DataFrame, keys: list[str], order: str, name: str, wi
     return _joined(rows.withColumn("_k", F.row_number().over(own)), runs, keys).withColumn(name, (F.col("_base") + F.col("_k") - 1).cast("long")).drop("_run", "_k", "_base")
 
 
-def running_max(rows: DataFrame, keys: list[str], order: str, value: str, name: str, width: int = WIDTH, include: bool = True) -> DataFrame:
-    """Adds name: the largest value so far along `order` within keys (include: the row's own counts)."""
+def running_max(rows: DataFrame, keys: list[str], order: str | list[str], value: str, name: str, width: int = WIDTH, include: bool = True) -> DataFrame:
+    """Adds name: the largest value so far along `order` (a column, or several: the first makes the runs) within keys
+    (include: the row's own counts)."""
     rows = rows.withColumn("_run", _run(order, width))
     runs = rows.groupBy(*keys, "_run").agg(F.max(value).alias("_top"))
     before = Window.partitionBy(*keys).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("_prior", F.max("_top").over(before)).drop("_top")
-    own = Window.partitionBy(*keys, "_run").orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if include else -1)
+    own = Window.partitionBy(*keys, "_run").orderBy(*_all(order)).rowsBetween(Window.unboundedPreceding, 0 if include else -1)
     return _joined(rows.withColumn("_own", F.max(value).over(own)), runs, keys).withColumn(name, F.greatest("_own", "_prior")).drop("_run", "_own", "_prior")
 
 
-def running_sum(rows: DataFrame, keys: list[str], order: str, value: str, name: str, width: int = WIDTH, backwards: bool = False) -> DataFrame:
+def running_sum(rows: DataFrame, keys: list[str], order: str | list[str], value: str, name: str, width: int = WIDTH, backwards: bool = False, kind: str = "long") -> DataFrame:
     """Adds name: the sum of value up to and with the row along `order` within keys (backwards: from the row on)."""
     rows = rows.withColumn("_run", _run(order, width))
     runs = rows.groupBy(*keys, "_run").agg(F.sum(value).alias("_all"))
     along = lambda c: F.desc(c) if backwards else F.asc(c)
     before = Window.partitionBy(*keys).orderBy(along("_run")).rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("_prior", F.coalesce(F.sum("_all").over(before), F.lit(0))).drop("_all")
-    own = Window.partitionBy(*keys, "_run").orderBy(along(order)).rowsBetween(Window.unboundedPreceding, 0)
-    return _joined(rows.withColumn("_own", F.sum(value).over(own)), runs, keys).withColumn(name, (F.col("_own") + F.col("_prior")).cast("long")).drop("_run", "_own", "_prior")
+    own = Window.partitionBy(*keys, "_run").orderBy(*[along(c) for c in _all(order)]).rowsBetween(Window.unboundedPreceding, 0)
+    return _joined(rows.withColumn("_own", F.sum(value).over(own)), runs, keys).withColumn(name, (F.col("_own") + F.col("_prior")).cast(kind)).drop("_run", "_own", "_prior")
 
 
 def floor_join(left: DataFrame, right: DataFrame, keys: list[str], left_on: str, right_on: str, payload: list[str], width: int = WIDTH) -> DataFrame:
@@ -72,3 +83,29 @@ def floor_join(left: DataFrame, right: DataFrame, keys: list[str], left_on: str,
     both = both.withColumn("_own", F.last("_found", ignorenulls=True).over(own)).filter("_side = 1")
     out = _joined(both, runs, keys).withColumn("_best", F.coalesce("_own", "_prior"))
     return out.select("_left.*", *[F.col(f"_best.{c}").alias(c) for c in payload])
+
+
+def ceiling_join(left: DataFrame, right: DataFrame, keys: list[str], left_on: str, right_on: str, payload: list[str], width: int = WIDTH) -> DataFrame:
+    """As floor_join, with the right row of the smallest right_on >= left_on; right_on is distinct within keys."""
+    l = left.withColumn("_want", -F.col(left_on))  # noqa: E741
+    r = right.select(*keys, *payload, (-F.col(right_on)).alias("_have"))
+    return floor_join(l, r, keys, "_want", "_have", payload, width).drop("_want")
+
+
+def reached(links: DataFrame, keys: list[str], at: str, to: str, start: str) -> DataFrame:
+    """(keys, at) of the rows on the paths that lead from rows with `start` along to -> at; `to` is null at an end.
+
+    Where each step depends on the one before, as in rolling a log, every row's next one is found first, by as-of joins
+    over all rows; the path is then followed by doubling: in round k all rows within 2 to the k steps are known.
+    """
+    by = [*keys, "_at"]
+    jump = cut(links.filter(F.col(to).isNotNull()).select(*keys, F.col(at).alias("_at"), F.col(to).alias("_to")))
+    found = cut(links.filter(start).select(*keys, F.col(at).alias("_at")))
+    n = found.count()
+    while True:
+        found = cut(found.unionByName(found.join(jump, by).select(*keys, F.col("_to").alias("_at"))).distinct())
+        seen, n = n, found.count()
+        if seen == n:
+            return found.withColumnRenamed("_at", at)
+        onward = jump.select(*keys, F.col("_at").alias("_to"), F.col("_to").alias("_far"))
+        jump = cut(jump.join(onward, [*keys, "_to"]).select(*by, F.col("_far").alias("_to")))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.operators.log import TP
-from tidelog.operators.ranking import running_sum
+from tidelog.operators.ranking import WIDTH, ceiling_join, floor_join, reached, running_max, running_sum
 
 
 def segment_table(records: DataFrame) -> DataFrame:
@@ -43,28 +43,32 @@ def truncate_after(batches: DataFrame, offset: int) -> DataFrame:
     return batches.filter(F.col("last_offset") < offset)
 
 
-def roll_segments(records: DataFrame, max_bytes: int) -> DataFrame:
-    """(topic, partition, segment_base, n_records, size_bytes) of segments that roll before a record would exceed max_bytes.
+def truncated_ends(batches: DataFrame, ends: DataFrame, offset: int) -> DataFrame:
+    """The ends (topic, partition, leo, hw) after a truncation: a batch goes as a whole, so the log ends where the last
+    batch that stays does, and the high watermark does not stay above that. An offset at or behind the end changes nothing."""
+    kept = truncate_after(batches, offset).groupBy(*TP).agg((F.max("last_offset") + 1).alias("_end"))
+    x = ends.join(kept, TP, "left")
+    leo = F.when(F.lit(offset) >= F.col("leo"), F.col("leo")).otherwise(F.coalesce("_end", F.lit(0)))
+    return x.select(*TP, leo.cast("long").alias("leo"), F.least("hw", leo).cast("long").alias("hw"))
 
-    Where a segment begins depends on where the one before began, so each partition is folded in offset order by one
-    stateful pass over sorted batches; only the sizes go there, and a partition is never held as a whole.
+
+def roll_segments(records: DataFrame, max_bytes: int, segment_ms: int | None = None) -> DataFrame:
+    """(topic, partition, segment_base, n_records, size_bytes) of segments that roll before a record would exceed
+    max_bytes, or that comes segment_ms or more after the segment's first one (by the latest time so far).
+
+    Where a segment begins depends on where the one before began. For every record the one that would begin the next
+    segment is looked up along the sums of sizes and the latest times; the path of those is the segments.
     """
-    import pyarrow as pa
-
-    def fold(batches):
-        at, base, n, size = None, 0, 0, 0
-        for b in batches:
-            out = []
-            for topic, partition, offset, bytes_ in zip(*(b.column(c).to_pylist() for c in ("topic", "partition", "log_offset", "encoded_size")), strict=True):
-                if (topic, partition) != at or (n and size + bytes_ > max_bytes):
-                    if n:
-                        out.append((*at, base, n, size))
-                    at, base, n, size = (topic, partition), offset, 0, 0
-                n, size = n + 1, size + bytes_
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["topic", "partition", "segment_base", "n_records", "size_bytes"])
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (*at, base, n, size)], ["topic", "partition", "segment_base", "n_records", "size_bytes"])
-
-    rows = records.select(*TP, "log_offset", "encoded_size").repartition(*TP).sortWithinPartitions(*TP, "log_offset")
-    return rows.mapInArrow(fold, "topic string, partition long, segment_base long, n_records long, size_bytes long")
+    x = running_sum(records.select(*TP, "log_offset", "encoded_size", "ts_ms"), TP, "log_offset", "encoded_size", "_upto")
+    x = x.withColumn("_full", F.greatest(F.col("_upto") - F.col("encoded_size") + F.lit(max_bytes), F.col("_upto")) + 1)
+    x = ceiling_join(x, x.select(*TP, "_upto", F.col("log_offset").alias("_by_size")), TP, "_full", "_upto", ["_by_size"], WIDTH * 64)
+    if segment_ms is None:
+        x = x.withColumn("_next", F.col("_by_size"))
+    else:
+        x = running_max(x, TP, "log_offset", "ts_ms", "_now").withColumn("_old", F.col("_now") + F.lit(segment_ms))
+        rises = x.groupBy(*TP, "_now").agg(F.min("log_offset").alias("_by_time"))
+        x = ceiling_join(x, rises, TP, "_old", "_now", ["_by_time"], WIDTH * 64)
+        x = x.withColumn("_next", F.least("_by_size", "_by_time"))
+    x = x.withColumn("_first", F.col("_upto") == F.col("encoded_size"))
+    bases = reached(x.select(*TP, "log_offset", "_next", "_first"), TP, "log_offset", "_next", "_first").withColumnRenamed("log_offset", "segment_base")
+    return floor_join(x.select(*TP, "log_offset", "encoded_size"), bases, TP, "log_offset", "segment_base", ["segment_base"]).groupBy(*TP, "segment_base").agg(F.count(F.lit(1)).alias("n_records"), F.sum("encoded_size").alias("size_bytes"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.operators.log import TP
-from tidelog.operators.ranking import sequence_numbers
+from tidelog.operators.ranking import WIDTH, running_sum
 
 MOST_DELIVERIES = 5
 SPAN = 64
@@ -58,18 +58,46 @@ def dead_letters(ranges: DataFrame, records: DataFrame) -> DataFrame:
     return x.select(F.concat("topic", F.lit("-dlq")).alias("dlq_topic"), "topic", "partition", "log_offset", "key", "value", "delivery_count")
 
 
-def coalesce_acks(acks: DataFrame) -> DataFrame:
+def coalesce_acks(acks: DataFrame, width: int = WIDTH) -> DataFrame:
     """Ranges of adjacent offsets (topic, partition, log_offset, ack_type) of one type.
 
-    An island begins where the offset before it has another type or is missing: looked up by offset, so that only the
-    first and last rows of islands meet in an order, not all rows of a partition.
+    Islands are found inside runs of offsets, which is one shuffle; only those that touch a run's edge, two a run at
+    most, are then joined with their neighbours.
     """
-    rows = acks.select(*TP, "ack_type", "log_offset").distinct()
-    near = lambda d: rows.select(*TP, "ack_type", (F.col("log_offset") + d).alias("log_offset"))
-    by = [*TP, "ack_type", "log_offset"]
-    edge = lambda d: sequence_numbers(rows.join(near(d), by, "left_anti"), [*TP, "ack_type"], "log_offset", "n")
-    first, last = edge(1).withColumnRenamed("log_offset", "first_offset"), edge(-1).withColumnRenamed("log_offset", "last_offset")
-    return first.join(last, [*TP, "ack_type", "n"]).drop("n")
+    by = [*TP, "ack_type", "_run"]
+    order = Window.partitionBy(*by).orderBy("log_offset")
+    x = acks.select(*TP, "ack_type", "log_offset").withColumn("_run", F.floor(F.col("log_offset") / width))
+    new = F.coalesce(F.col("log_offset") - F.lag("log_offset").over(order) > 1, F.lit(True))
+    x = x.withColumn("_new", new.cast("long")).withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    x = x.groupBy(*by, "_island").agg(F.min("log_offset").alias("first_offset"), F.max("log_offset").alias("last_offset"))
+    edge = (F.col("first_offset") == F.col("_run") * width) | (F.col("last_offset") == (F.col("_run") + 1) * width - 1)
+    along = Window.partitionBy(*TP, "ack_type").orderBy("first_offset")
+    e = x.filter(edge).withColumn("_new", F.coalesce(F.col("first_offset") - F.lag("last_offset").over(along) > 1, F.lit(True)).cast("long"))
+    e = e.withColumn("_chain", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*TP, "ack_type", "_chain")
+    e = e.agg(F.min("first_offset").alias("first_offset"), F.max("last_offset").alias("last_offset"))
+    columns = [*TP, "ack_type", "first_offset", "last_offset"]
+    return x.filter(~edge).select(*columns).unionByName(e.select(*columns))
+
+
+def acquire(ranges: DataFrame, ends: DataFrame, member: str, most: int) -> DataFrame:
+    """What a member gets of each partition, `most` offsets at most, and what is left of the ranges it cuts:
+    Available ranges first, by offset, the last one split; then offsets no range holds yet, up to the end (leo).
+
+    Rows (topic, partition, first_offset, last_offset, state, acquired_by, delivery_count) of the ranges it touches.
+    """
+    open_ = ranges.filter("state = 'Available'").withColumn("_n", F.col("last_offset") - F.col("first_offset") + 1)
+    open_ = running_sum(open_, TP, "first_offset", "_n", "_upto").withColumn("_take", F.least(F.col("_n"), F.lit(most) - F.col("_upto") + F.col("_n"))).filter("_take > 0")
+    part = lambda lo, hi, state, by, count: F.struct(lo.alias("first_offset"), hi.alias("last_offset"), F.lit(state).alias("state"), by.alias("acquired_by"), count.cast("long").alias("delivery_count"))
+    last = F.col("first_offset") + F.col("_take") - 1
+    taken = part(F.col("first_offset"), last, "Acquired", F.lit(member), F.col("delivery_count") + 1)
+    left = part(last + 1, F.col("last_offset"), "Available", F.lit(None).cast("string"), F.col("delivery_count"))
+    again = open_.select(*TP, F.explode(F.when(F.col("_take") < F.col("_n"), F.array(taken, left)).otherwise(F.array(taken))).alias("p")).select(*TP, "p.*")
+    had = open_.groupBy(*TP).agg(F.sum("_take").alias("_had"))
+    held = ranges.groupBy(*TP).agg((F.max("last_offset") + 1).alias("_from"))
+    x = ends.select(*TP, "leo").join(held, TP, "left").join(had, TP, "left").withColumn("_from", F.coalesce("_from", F.lit(0)))
+    x = x.withColumn("_n", F.least(F.lit(most) - F.coalesce("_had", F.lit(0)), F.col("leo") - F.col("_from"))).filter("_n > 0")
+    fresh = part(F.col("_from"), F.col("_from") + F.col("_n") - 1, "Acquired", F.lit(member), F.lit(1))
+    return again.unionByName(x.select(*TP, fresh.alias("p")).select(*TP, "p.*"))
 
 
 def start_offsets(ranges: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from tidelog.sources.virtual_log import div, millis
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 RECORD = [*TP, "log_offset", "ts_ms", "key", "value"]
 NOW, DAY = 1706659200000, 86_400_000  # the end of the events' month
+OVERSIZED = 315
 
 
 def query(f):
@@ -72,8 +73,7 @@ def log_offset_for_timestamp(spark, folder):
 @query
 def log_seek_asof_index(spark, folder):
     records = v.log(spark, folder)
-    targets = records.filter("log_offset % 37 = 5").select(*TP, "log_offset")
-    return log.seek(targets, log.sparse_index(records, 50)).select(*TP, "log_offset", "index_offset")
+    return log.seek(records.select(*TP, "log_offset"), log.sparse_index(records, 50)).select(*TP, "log_offset", "index_offset")
 
 
 @query
@@ -82,10 +82,15 @@ def log_end_offsets(spark, folder):
 
 
 def arriving(spark, folder):
-    """Batches as a replica gets them: some are lost on the way and some come twice."""
-    b = v.batches(v.log(spark, folder)).filter("batch_no % 11 <> 5")
-    b = b.withColumn("copy", F.explode(F.when(F.col("batch_no") % 13 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-    return b.withColumn("arrival", F.col("batch_no") * 2 + F.col("copy") * 3)
+    """Batches as a replica gets them: some are late, so that what follows them is a gap, all are sent again, some of
+    these twice, and some come cut otherwise, across the end of the log."""
+    late = F.when(F.col("batch_no") % 11 == 5, 9).otherwise(0)
+    copies = [F.struct(late.alias("delay"), F.lit(0).alias("shift")), F.struct(F.lit(30).alias("delay"), F.lit(0).alias("shift"))]
+    more = F.when(F.col("batch_no") % 13 == 0, F.array(F.struct(F.lit(35).alias("delay"), F.lit(0).alias("shift")))).when(F.col("batch_no") % 17 == 3, F.array(F.struct(F.lit(31).alias("delay"), F.lit(3).alias("shift"))))
+    none = F.expr("cast(array() as array<struct<delay: int, shift: int>>)")
+    b = v.batches(v.log(spark, folder)).select("*", F.posexplode(F.concat(F.array(*copies), F.coalesce(more, none))).alias("copy", "c"))
+    moved = [(F.col(n) + F.col("c.shift")).alias(n) for n in ("base_offset", "last_offset")]
+    return b.select(*TP, *moved, ((F.col("batch_no") * 2 + F.col("c.delay")) * 4 + F.col("copy")).alias("arrival"))
 
 
 @query
@@ -234,9 +239,9 @@ def producer_idempotent_fold(spark, folder):
 
 @query
 def producer_fencing(spark, folder):
-    e = table(spark, folder, "events")
-    requests = e.select(F.concat(F.lit("t"), (F.col("user_id") % 20).cast("string")).alias("transactional_id"), div("event_id", 2000).alias("epoch"), "event_id")
-    return producer.fenced(requests)
+    e = table(spark, folder, "events").select(F.concat(F.lit("t"), (F.col("user_id") % 20).cast("string")).alias("transactional_id"), div("event_id", 500).alias("epoch"), "event_id", (F.col("event_id") % 25 == 3).alias("is_init"))
+    old = F.when(~F.col("is_init") & (F.col("event_id") % 7 == 2), F.greatest(F.col("epoch") - 1, F.lit(0))).otherwise(F.col("epoch"))  # requests that come late
+    return producer.judged_requests(e.withColumn("epoch", old), "event_id").select("transactional_id", "epoch", "event_id", "verdict")
 
 
 # groups
@@ -250,7 +255,10 @@ def group_committed_offsets(spark, folder):
 @query
 def group_lag(spark, folder):
     records = v.log(spark, folder)
-    return groups.lag(groups.committed_offsets(v.commits(records).filter("log_offset % 3 = 0")), v.ends(records)).select("group_id", *TP, "lag")
+    commits = v.commits(records).filter("log_offset % 3 = 0")
+    subscribed = commits.select("group_id", "topic").distinct().withColumn("partition", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(v.PARTITIONS - 1).cast("long"))))
+    seen = groups.committed_offsets(commits.filter("not (group_id in ('g1', 'g6') and partition = 2)"))
+    return groups.lag(seen, v.ends(records), subscribed).select("group_id", *TP, "lag")
 
 
 def evicted(spark, folder):
@@ -389,7 +397,7 @@ def policy_acl_authorize(spark, folder):
         F.when(F.col("event_id") % 2 == 0, "Read").otherwise("Write").alias("operation"), F.lit("Topic").alias("resource_type"), F.concat(F.col("event_type"), F.lit("-"), (F.col("event_id") % 4).cast("string")).alias("resource"),
     )
     rules = spark.createDataFrame(RULES, "principal string, host string, operation string, resource_type string, resource string, pattern string, permission string")
-    return catalog.authorize(requests, F.broadcast(rules)).select("request_id", "allowed")
+    return catalog.authorize(requests, rules).select("request_id", "allowed")
 
 
 RULES = [
@@ -503,7 +511,7 @@ def log_poll_fairly(spark, folder):
 
 @query
 def log_oversized_batches(spark, folder):
-    return log.oversized(v.batches(v.log(spark, folder)), 330).select(*TP, "batch_no", "size_bytes")
+    return log.oversized(v.batches(v.log(spark, folder)), OVERSIZED).select(*TP, "batch_no", "size_bytes")
 
 
 @query
@@ -551,8 +559,7 @@ def config_values(spark, folder):
 
 @query
 def batch_attributes(spark, folder):
-    a = (F.col("event_id") % 32).cast("int")
-    a = a - F.when(a.bitwiseAND(7) > 2, a.bitwiseAND(7) - 2).otherwise(0)  # only known codecs
+    a = (F.col("event_id") % 32).cast("int")  # reserved codecs too
     return table(spark, folder, "events").select("event_id", values.codec_of(a).alias("codec"), values.is_transactional(a).alias("transactional"), values.is_control(a).alias("control"))
 
 
@@ -574,6 +581,160 @@ def metric_prometheus(spark, folder):
     return metrics.prometheus(metrics.topic_counters(e).select(F.lit("log_records_total").alias("metric"), "topic", F.col("records").alias("value")))
 
 
+# administration: folds of a metadata log
+
+
+def metadata_log(spark, folder):
+    """Creations and deletions of topics, changes of their configuration, and brokers that come and go."""
+    e = table(spark, folder, "events")
+    n = F.col("event_id") % 20
+    op = F.when(n < 2, "create").when(n == 2, "delete").when(n < 9, "alter").when(n == 9, "replace").when(n < 13, "register").when(n == 13, "unregister")
+    name = F.when(F.col("user_id") % 30 == 7, "__own").when(F.col("user_id") % 30 == 8, "a..b").otherwise(F.concat(F.lit("t"), (F.col("user_id") % 30).cast("string")))
+    key = F.element_at(F.array(*[F.lit(x) for x in ("retention.ms", "cleanup.policy", "segment.bytes")]), (F.col("event_id") % 3 + 1).cast("int"))
+    other = F.when(F.col("event_id") % 4 == 0, F.array(F.lit("retention.ms"), F.lit("segment.bytes")))
+    x = e.select(F.col("event_id").alias("seq"), op.alias("op"), name.alias("topic"), (F.col("event_id") % 13).alias("n_partitions"), (1 + F.col("event_id") % 3).alias("replication"), F.create_map(key, F.col("event_id").cast("string")).alias("configs"), other.alias("removed"), (F.col("user_id") % 9).alias("node"), F.concat(F.lit("10.0.0."), (F.col("event_id") % 250).cast("string")).alias("address"))
+    return x.filter("op is not null")
+
+
+@query
+def catalog_create_verdicts(spark, folder):
+    return catalog.judged_creations(metadata_log(spark, folder)).select("seq", "topic", "verdict")
+
+
+@query
+def catalog_topics_in_force(spark, folder):
+    return catalog.topics_in_force(metadata_log(spark, folder))
+
+
+@query
+def catalog_configs_in_force(spark, folder):
+    x = metadata_log(spark, folder)
+    return catalog.configs_in_force(x, catalog.topics_in_force(x))
+
+
+@query
+def catalog_brokers_in_force(spark, folder):
+    return catalog.brokers_in_force(metadata_log(spark, folder))
+
+
+def rule_log(spark, folder):
+    pick = lambda values, n: F.element_at(F.array(*[F.lit(x) for x in values]), (F.col("user_id") % n + 1).cast("int"))
+    return table(spark, folder, "events").select(
+        F.col("event_id").alias("seq"), F.when(F.col("event_id") % 3 == 0, "remove").otherwise("add").alias("op"), F.concat(F.lit("User:"), (F.col("user_id") % 5).cast("string")).alias("principal"), F.lit("*").alias("host"), pick(("Read", "Write", "All"), 3).alias("operation"),
+        pick(("Topic", "Group"), 2).alias("resource_type"), F.concat(F.lit("r"), (F.col("user_id") % 40).cast("string")).alias("resource"), F.lit("literal").alias("pattern"), pick(("Allow", "Deny", "Allow", "Allow"), 4).alias("permission"),
+    )
+
+
+@query
+def acl_rules_in_force(spark, folder):
+    return catalog.rules_in_force(rule_log(spark, folder))
+
+
+@query
+def acl_list(spark, folder):
+    return catalog.list_rules(catalog.rules_in_force(rule_log(spark, folder)), resource_type="Topic", resource="*", principal="", operation="Any", permission="Allow")
+
+
+@query
+def group_list(spark, folder):
+    return groups.list_groups(v.members(spark, folder), NOW - 2 * DAY // 24)
+
+
+@query
+def group_describe(spark, folder):
+    m = v.members(spark, folder)
+    x = groups.describe_groups(m, groups.assign_round_robin(groups.alive(m, NOW - 2 * DAY // 24).filter("member_id % 4 <> 1"), 50), NOW - 2 * DAY // 24)
+    return x.select("group_no", "state", "member_id", F.array_join(F.transform("partitions", lambda p: p.cast("string")), ",").alias("partitions"))
+
+
+@query
+def group_static_members(spark, folder):
+    joins = table(spark, folder, "events").filter("event_type = 'click'").select((F.col("user_id") % 8).alias("group_no"), F.concat(F.lit("i"), F.col("user_id").cast("string")).alias("instance_id"), F.col("event_id").alias("seq"))
+    return groups.static_members(joins)
+
+
+@query
+def group_synced(spark, folder):
+    m = v.members(spark, folder).filter("member_id % 5 <> 1")
+    asked = table(spark, folder, "events").filter("event_type = 'view'").select(F.col("event_id").alias("request_id"), (F.col("user_id") % 8).alias("group_no"), F.col("user_id").alias("member_id"))
+    x = groups.synced(asked, m, groups.assign_round_robin(m, 50))
+    return x.select("request_id", "error", F.array_join(F.transform("partitions", lambda p: p.cast("string")), ",").alias("partitions"))
+
+
+@query
+def group_commit_metadata(spark, folder):
+    c = v.commits(v.log(spark, folder)).withColumn("metadata", F.when(F.col("commit_seq") % 3 != 0, F.concat(F.lit("at "), F.col("commit_seq").cast("string"))))
+    return groups.committed_with_metadata(c)
+
+
+@query
+def log_byte_index(spark, folder):
+    return log.byte_index(v.batches(v.log(spark, folder)), 4096).select(*TP, "base_offset")
+
+
+@query
+def log_truncated_ends(spark, folder):
+    records = v.log(spark, folder)
+    return retention.truncated_ends(v.batches(records), v.ends(records), 1003)
+
+
+@query
+def log_in_order(spark, folder):
+    return log.in_order(v.log(spark, folder)).select(*TP, "log_offset", "event_id")
+
+
+@query
+def segment_roll_by_time(spark, folder):
+    return retention.roll_segments(v.segments(v.log(spark, folder)), 40_000, DAY // 2)
+
+
+@query
+def share_acquire(spark, folder):
+    records = v.log(spark, folder)
+    x = v.leases(records)
+    return share.acquire(share.apply_acks(x, v.acks(x)).filter("last_offset < 900"), v.ends(records), "m7", 130)
+
+
+@query
+def producer_duplicate_answers(spark, folder):
+    a = v.attempts(spark, folder)
+    judged = producer.idempotent_fold(a)
+    took = log.append(judged.filter("verdict = 'accepted'").withColumns({"topic": F.lit("t"), "partition": F.lit(0)}), "arrival").select("arrival", F.col("log_offset").alias("last_offset"))
+    return producer.duplicate_answers(judged.join(took, "arrival", "left")).select("producer_id", "base_sequence", "arrival", "verdict", "answer")
+
+
+@query
+def replica_shrunk_isr(spark, folder):
+    nodes = lambda n, by: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: (F.col(by) + j) % 5)
+    x = table(spark, folder, "events").select("event_id", replication.shrunk_isr(nodes(3, "event_id"), nodes(2, "user_id")).alias("isr"))
+    return x.select("event_id", F.array_join(F.transform("isr", lambda n: n.cast("string")), ",").alias("isr"))
+
+
+@query
+def policy_cidr_v6(spark, folder):
+    e = table(spark, folder, "events").select("event_id", F.concat(F.lit("2001:db8:"), F.hex(F.col("user_id") % 64), F.lit("::"), F.hex(F.col("event_id") % 4096)).alias("address"))
+    return e.select("event_id", policy.cidr_contains("2001:db8:20::/43", "address").alias("inside"))
+
+
+@query
+def config_names(spark, folder):
+    raw = F.element_at(F.array(*[F.lit(x) for x in ("Compact", " delete ", "compact,delete", "sticky", "RANGE", "roundrobin", "other")]), (F.col("c_custkey") % 7 + 1).cast("int"))
+    return table(spark, folder, "customer").select("c_custkey", values.one_of(raw, values.POLICIES).alias("policy"), values.one_of(raw, values.ASSIGNORS).alias("assignor"))
+
+
+@query
+def metric_prometheus_histogram(spark, folder):
+    return metrics.prometheus_histogram(metrics.latency_histogram(latencies(spark, folder), ["event_type"]), "fetch_latency_ms", "event_type")
+
+
+@query
+def segment_codec_zstd(spark, folder):
+    from tidelog.sources.segment import decode_batches, encode_batches
+
+    records = decode_batches(encode_batches(v.log(spark, folder), 700, "zstd"))
+    return records.select(*TP, "log_offset", "batch_base_offset", "codec", F.col("value").cast("string").alias("value"))
+
+
 # segment files and streams
 
 
@@ -612,8 +773,9 @@ def stream_idempotent(spark, folder):
     from tidelog.streaming import follow as s
     from tidelog.streaming.state import idempotent
 
-    e = s.follow(spark, folder, "events").select(F.col("user_id").alias("producer_id"), F.lit(0).cast("long").alias("epoch"), F.col("event_id").alias("base_sequence"), F.col("event_id").alias("arrival"), F.lit(1).cast("long").alias("n_records"))
-    again = e.filter("base_sequence % 10 = 0").withColumn("arrival", F.col("arrival") + 5)
+    e = s.follow(spark, folder, "events").filter("event_id % 2100 <> 1213")  # lost: what follows is out of order
+    e = e.select((F.col("event_id") % 50 + 1).alias("producer_id"), F.lit(0).cast("long").alias("epoch"), div("event_id", 50).alias("base_sequence"), (F.col("event_id") * 2).alias("arrival"), F.lit(1).cast("long").alias("n_records"))
+    again = e.filter("arrival % 20 = 0").withColumn("arrival", F.col("arrival") + 5)
     return s.drain(idempotent(e.union(again)))
 
 

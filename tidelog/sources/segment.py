@@ -61,8 +61,12 @@ def _unpacked(codec: int, data: bytes) -> bytes:
 
 def encode(records, codec: str = "none", producer=(0, 0, 0), leader_epoch: int = 0, transactional: bool = False, control: bool = False) -> bytes:
     """A batch of records (offset, ts_ms, key, value) in the order of offset; producer: (id, epoch, base sequence)."""
+    if not 0 < len(records) <= MOST_RECORDS:
+        raise ValueError(f"a batch holds 1 to {MOST_RECORDS} records, not {len(records)}")
     base, t0 = records[0][0], records[0][1]
     data = b"".join(ENTRY.pack(o - base, t - t0) + _optional(k) + _optional(v) for o, t, k, v in records)
+    if len(data) > MOST_BYTES:
+        raise ValueError("a batch of more than 64 MiB")
     kind = CODECS.index(codec)
     body = BODY.pack(base, records[-1][0] - base, t0, producer[0], producer[1], producer[2], leader_epoch, kind | 8 * transactional | 16 * control, len(records)) + _packed(kind, data)
     return HEAD.pack(MAGIC, len(body) + 4, zlib.crc32(body)) + body
@@ -107,32 +111,41 @@ def decode(data: bytes, at: int = 0) -> tuple[dict, int]:
     return head | {"records": records}, end
 
 
-def batches_of(data: bytes):
-    """The batches of a segment up to the first that isn't whole, which is where a log is cut after a crash."""
+def batches_of(data: bytes, active: bool = True):
+    """The batches of a segment. A crash may leave the active one with a torn end, which is cut: a last batch that is not
+    all there. Anything else that is no batch is an error, there and in older segments."""
     at = 0
     while at < len(data):
+        whole = len(data) - at >= HEAD.size and at + 5 + HEAD.unpack_from(data, at)[1] <= len(data)
+        if active and not whole and data[at] == MAGIC:
+            return
         try:
             batch, at = decode(data, at)
-        except (ValueError, struct.error):
-            return
+        except (ValueError, struct.error) as e:
+            raise ValueError(f"byte {at} of a segment: {e}") from e
         yield batch
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the segment files <path>/<topic>-<partition>/*.log, by the store's own reader; a segment is a row."""
+    """Records of the segment files <path>/<topic>-<partition>/*.log, by the store's own reader; a segment is a row.
+
+    The active segment of a partition is the one with the last name; only its torn end is left out without an error.
+    """
     columns = [c.split()[0] for c in RECORD.split(", ")]
 
     def rows(frames):
         for f in frames:
-            for where, content in zip(f.path, f.content, strict=True):
+            for where, content, active in zip(f.path, f.content, f.active, strict=True):
                 topic, _, partition = where.rsplit("/", 2)[-2].rpartition("-")
-                for b in batches_of(content):
+                for b in batches_of(content, active):
                     head = {k: v for k, v in b.items() if k != "records"}
                     out = [{"topic": topic, "partition": int(partition), "log_offset": o, "ts_ms": t, "key": k, "value": v, **head} for o, t, k, v in b["records"]]
                     yield pd.DataFrame(out, columns=columns)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.log").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInPandas(rows, RECORD)
+    last = files.select("path").groupBy(F.regexp_replace("path", r"[^/]*\z", "").alias("_folder")).agg(F.max("path").alias("_last"))  # names are base offsets
+    x = files.withColumn("_folder", F.regexp_replace("path", r"[^/]*\z", "")).join(last, "_folder")
+    return x.select("path", "content", (F.col("path") == F.col("_last")).alias("active")).mapInPandas(rows, RECORD)
 
 
 def encode_batches(records: DataFrame, of: int = 1000, codec: str = "zstd") -> DataFrame:

@@ -53,7 +53,7 @@ def ends(records: DataFrame) -> DataFrame:
 def segments(records: DataFrame, span: int = 500) -> DataFrame:
     base = F.col("log_offset") - F.col("log_offset") % span
     last = (F.col("leo") - 1) - (F.col("leo") - 1) % span
-    x = records.join(F.broadcast(ends(records)), ["topic", "partition"])  # one row a partition
+    x = records.join(ends(records), ["topic", "partition"])
     return x.withColumn("segment_base", base).withColumn("encoded_size", 73 + size_of("key", "value")).withColumn("is_active_segment", base == last)
 
 
@@ -64,7 +64,7 @@ def batches(records: DataFrame, of: int = 7) -> DataFrame:
 
 def transactions(records: DataFrame) -> DataFrame:
     x = records.groupBy("topic", "partition", div("log_offset", 20).alias("txn_seq")).agg(F.min("log_offset").alias("first_offset"), F.max("log_offset").alias("last_offset"))
-    x = x.filter("txn_seq % 4 <> 3").join(F.broadcast(ends(records)), ["topic", "partition"])
+    x = x.filter("txn_seq % 4 <> 3").join(ends(records), ["topic", "partition"])
     status = F.when(F.col("first_offset") >= div(F.col("leo") * 9, 10), "Ongoing").when(F.col("txn_seq") % 4 == 1, "Aborted").otherwise("Committed")
     return x.select("topic", "partition", "txn_seq", "first_offset", "last_offset", (1000 + F.col("txn_seq") % 7).alias("producer_id"), status.alias("status"))
 

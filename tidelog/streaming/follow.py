@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.sources.shared import shared_home
+
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, else below the warehouse: both are shared by driver and executors."""
-    home = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
-    return f"{home}/stream_{uuid.uuid4().hex[:12]}"
+    """A new folder in the one that driver and executors share."""
+    return f"{shared_home(spark)}/stream_{uuid.uuid4().hex[:12]}"
 
 
 def follow(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 100) -> DataFrame:
