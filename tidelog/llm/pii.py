@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import small_batches, texts
+from tidelog.llm.common import small_batches, tasks_for, texts
 
 KINDS = ("email", "ip", "card", "phone")
 #: Labels: 0 is plain, the kinds follow.
@@ -403,7 +403,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Field:
     small_batches(docs.sparkSession)
     marked = texts(docs).filter(F.col("text").rlike("[0-9@]"))
     picked = marked.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(sample)
-    one = marked.join(F.broadcast(picked), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    one = marked.join(F.broadcast(picked), "doc_id", "left_semi").repartition(tasks_for(docs.sparkSession), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     kind = one.schema["doc_id"].dataType.simpleString()
     made = one.mapInArrow(node_rows, f"doc_id {kind}, rows array<struct<on: array<int>, y: int, words: array<string>, before: array<int>, behind: array<int>, same: array<int>, withheld: boolean>>")
     rows = sorted(made.collect(), key=lambda x: x["doc_id"])  # of at most `sample` documents, about NODES rows each

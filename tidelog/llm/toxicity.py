@@ -24,12 +24,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidelog.llm import kernel
-from tidelog.llm.common import cut, small_batches, texts
+from tidelog.llm.common import cut, small_batches, tasks_for, texts
 
 #: Rows of each label in training, features kept, buckets of the feature hash.
 SAMPLE, FEATURES, BUCKETS = (3000, 6000), 20_000, 1 << 20
-#: Entries of the sample's matrix multiplied at a time.
-ENTRIES = 1 << 18
 #: Bytes of the word beginnings that are features beside the word itself.
 PREFIXES = (4, 5, 6, 8)
 THRESHOLD, RIDGE, FAIRNESS = 0.3, 1.0, 4.0
@@ -114,7 +112,8 @@ class Terms:
         self.first = np.array(sorted(self.at), np.int64)
 
     def features(self) -> np.ndarray:
-        return np.unique(np.concatenate([*self.made.values(), np.zeros(0, np.int64)]))
+        """The whole words; their beginnings are shared with other words and are kept where they tell labels apart."""
+        return self.first
 
     def swapped(self, own: np.ndarray, most: int = SWAPS):
         """The features of a text's words with the terms of one line swapped, for at most `most` of the lines it holds."""
@@ -182,23 +181,30 @@ class Model:
 class Sparse:
     """Rows of (ids, values), two list columns, as a matrix over the columns of `keep`, which holds all ids.
 
-    Entries take twelve bytes and are multiplied a block at a time, so that the driver holds them once.
+    Entries lie by row and, once more, by column, 20 bytes together, so that both products add up runs.
     """
 
     def __init__(self, ids: pa.ChunkedArray, values: pa.ChunkedArray, keep: np.ndarray):
         n = pc.list_value_length(ids).to_numpy()
-        self.row = np.repeat(np.arange(len(n), dtype=np.int32), n)
         self.col = np.searchsorted(keep.astype(np.int32), pc.list_flatten(ids).to_numpy()).astype(np.int32)
         self.val, self.shape = pc.list_flatten(values).to_numpy(), (len(n), len(keep))
-
-    def blocks(self):
-        return (slice(lo, lo + ENTRIES) for lo in range(0, len(self.col), ENTRIES))
+        row = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        order = np.argsort(self.col, kind="stable")
+        self.row, self.val_by_col = row[order], self.val[order]
+        self.rows, self.row_at = np.unique(row, return_index=True)
+        self.cols, self.col_at = np.unique(self.col[order], return_index=True)
 
     def dot(self, w):
-        return sum((np.bincount(self.row[p], self.val[p] * w[self.col[p]], self.shape[0]) for p in self.blocks()), np.zeros(self.shape[0]))
+        out = np.zeros(self.shape[0])
+        if len(self.col):
+            out[self.rows] = np.add.reduceat(self.val * w[self.col], self.row_at)
+        return out
 
     def back(self, g):
-        return sum((np.bincount(self.col[p], self.val[p] * g[self.row[p]], self.shape[1]) for p in self.blocks()), np.zeros(self.shape[1]))
+        out = np.zeros(self.shape[1])
+        if len(self.col):
+            out[self.cols] = np.add.reduceat(self.val_by_col * g[self.row], self.col_at)
+        return out
 
 
 def telling(made: DataFrame, n0: int, n1: int) -> np.ndarray:
@@ -213,20 +219,20 @@ def telling(made: DataFrame, n0: int, n1: int) -> np.ndarray:
 def narrowed(keep: np.ndarray):
     """Rows of the sample with the features in `keep` alone."""
 
-    def some(ids, values):
-        ok = np.isin(ids, keep)
-        return ids[ok], values[ok]
+    def some(ids: pa.ListArray, values: pa.ListArray) -> tuple[pa.ListArray, pa.ListArray]:
+        flat, n = ids.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(ids).to_numpy(zero_copy_only=False)
+        ok = np.isin(flat, keep)
+        row = np.repeat(np.arange(len(n)), n)
+        ends = np.concatenate([[0], np.cumsum(np.bincount(row[ok], minlength=len(n)))]).astype(np.int32)
+        kept = (flat[ok], values.flatten().to_numpy(zero_copy_only=False)[ok])
+        return tuple(pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in kept)
 
     def run(batches):
         for b in batches:
-            own = [some(np.array(i, np.int32), np.array(v, np.float32)) for i, v in zip(b.column("ids").to_pylist(), b.column("vals").to_pylist(), strict=True)]
-            other = [
-                [some(np.array(i, np.int32), np.array(v, np.float32)) for i, v in zip(ids, values, strict=True)]
-                for ids, values in zip(b.column("delta_ids").to_pylist(), b.column("delta").to_pylist(), strict=True)
-            ]
-            columns = [pa.array([p[k] for p in own], pa.list_(t)) for k, t in enumerate((pa.int32(), pa.float32()))]
-            columns += [pa.array([[p[k] for p in d] for d in other], pa.list_(pa.list_(t))) for k, t in enumerate((pa.int32(), pa.float32()))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns, b.column("toxic")], ["doc_id", "ids", "vals", "delta_ids", "delta", "toxic"])
+            own = some(b.column("ids"), b.column("vals"))
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(b.column("delta_ids")).to_numpy(zero_copy_only=False))]).astype(np.int32)
+            other = [pa.ListArray.from_arrays(pa.array(ends), x) for x in some(b.column("delta_ids").flatten(), b.column("delta").flatten())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *own, *other, b.column("toxic")], ["doc_id", "ids", "vals", "delta_ids", "delta", "toxic"])
 
     return run
 
@@ -270,7 +276,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE,
     order = F.xxhash64(F.lit(7), "doc_id")
     picked = rows.filter("toxic = 1").orderBy(order, "doc_id").limit(sample[0]).unionByName(rows.filter("toxic = 0").orderBy(order, "doc_id").limit(sample[1]))
     # at most sum(sample) rows of two numbers each are broadcast, and as many feature lists come to the driver
-    text = cut(texts(docs).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")))
+    text = texts(docs).join(F.broadcast(picked), "doc_id").repartition(tasks_for(docs.sparkSession, 16), "doc_id")  # so many tasks read it
+    text = cut(text.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")))
     lines = (*groups, *found_terms(text))
     kind = text.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, ids array<int>, vals array<float>, delta_ids array<array<int>>, delta array<array<float>>, toxic int"
