@@ -46,6 +46,18 @@ def test_ids_at_segment_and_memory_bounds(library, monkeypatch):
         assert memoryview(e.encode(text)).cast("I").tolist() == library(text)
 
 
+def test_lengths_of_batches_are_the_librarys(library, monkeypatch):
+    from tidelog.llm import tokens
+
+    values = [x[1] or "" for x in cases.rows()] + [" a", "a  b ", "<|endoftext|> x<|endoftext|>"]
+    for segment, remembered in ((1 << 18, 400_000), (40, 3)):
+        monkeypatch.setattr(tokens, "SEGMENT", segment)
+        monkeypatch.setattr(tokens, "REMEMBERED", remembered)
+        count = tokens.Lengths(Encoder(ranks=None))
+        for batch in (values[:7], values[7:], values):
+            assert count(batch) == [len(library(t)) for t in batch]
+
+
 def measures(text):
     text = text or ""
     w = words(text)

@@ -25,6 +25,8 @@ from tidelog.llm import kernel
 from tidelog.llm.common import cut, small_batches, tasks_for, texts
 
 SECTION, PIECE = 4, 4
+#: Bytes of text in a run of neighbouring documents.
+RUN_BYTES = 16 << 20
 
 
 @dataclass
@@ -206,7 +208,10 @@ def fingerprint_edits(docs: DataFrame, runs: int | None = None) -> DataFrame:
     small_batches(docs.sparkSession)
     no_id = -(2**63)
     rows = texts(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(no_id)).alias("id"), "text")
-    dealt = neighbours(rows, runs or 4 * tasks_for(docs.sparkSession)).repartition(tasks_for(docs.sparkSession), "run").sortWithinPartitions("run", "guest", F.desc("id"), "text")
+    if runs is None:  # by bytes, so that a task's share stays the same at any size
+        total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        runs = max(4 * tasks_for(docs.sparkSession), -(-total // RUN_BYTES))
+    dealt = neighbours(rows, runs).repartition(max(tasks_for(docs.sparkSession), runs // 4), "run").sortWithinPartitions("run", "guest", F.desc("id"), "text")
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def emit(pairs):

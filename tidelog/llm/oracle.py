@@ -28,15 +28,33 @@ words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FR
 kept AS (SELECT words.doc_id, array_to_string(list(word ORDER BY words.k), ' ') AS t FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.k = words.k WHERE gone.k IS NULL GROUP BY words.doc_id)
 SELECT d.doc_id, len(w) AS n_words, coalesce(len(ks), 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
-#: What policy v1 asks of the measurements.
-V1 = "n_words = 0 OR n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 100 * n_symbols > 20 * n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 100 * n_dup_lines > 50 * n_lines"
-OP8 = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{SPACED}') AS w, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+#: The rules, in the order of their bits.
+RULES = {
+    "few_words": "n_words < 50",
+    "repeated_triples": "100 * n_repeat_words > 50 * n_words",
+    "symbols": "100 * n_symbols > 20 * n_words",
+    "short_words": "word_chars < 2 * n_words",
+    "long_words": "word_chars > 15 * n_words",
+    "duplicate_lines": "100 * n_dup_lines > 50 * n_lines",
+    "no_words": "n_words = 0",
+}
+#: What policy v1 asks of the measurements: all of them.
+V1 = " OR ".join(RULES.values())
+BITS = " + ".join(f"CASE WHEN {r} THEN {1 << i} ELSE 0 END" for i, r in enumerate(RULES.values()))
+MEASURED = f"""d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{SPACED}') AS w, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 g AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d) x),
 often AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) x WHERE n > 1),
 hit AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, i + unnest([0, 1, 2]) AS k FROM often) x GROUP BY doc_id),
 m AS (SELECT d.doc_id, len(w) AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) AS n_lines,
- len(list_filter(lines, lambda x: regexp_matches(x, '{SPACED}'))) - len(list_distinct(list_filter(lines, lambda x: regexp_matches(x, '{SPACED}')))) AS n_dup_lines, coalesce(hit.n, 0) AS n_repeat_words FROM d LEFT JOIN hit USING (doc_id))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT ({V1}) AS kept FROM m"""
+ len(list_filter(lines, lambda x: regexp_matches(x, '{SPACED}'))) - len(list_distinct(list_filter(lines, lambda x: regexp_matches(x, '{SPACED}')))) AS n_dup_lines, coalesce(hit.n, 0) AS n_repeat_words FROM d LEFT JOIN hit USING (doc_id)),
+f AS (SELECT *, {BITS} AS failures FROM m)"""
+OP8 = f"""WITH {MEASURED}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT ({V1}) AS kept, failures::BIGINT AS failures FROM f"""
+ABLATIONS = f"WITH {MEASURED} " + " UNION ALL ".join(
+    f"SELECT '{name}' AS rule, count(*) FILTER ({rule}) AS fails, count(*) FILTER (({rule}) AND NOT ({others})) AS alone, count(*) FILTER (NOT ({others})) AS without FROM f"
+    for name, rule in RULES.items()
+    for others in [" OR ".join(r for n, r in RULES.items() if n != name)]
+)
 
 
 def words_sql(words) -> str:
@@ -57,4 +75,4 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, l
  array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(best.labels, [])))), ',') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(c, 0)::DOUBLE END AS score
 FROM d LEFT JOIN base USING (doc_id) LEFT JOIN best USING (doc_id)"""
 
-ORACLE_SQL = {"op1_near_duplicates": OP1, "op4_repeated_passages": OP4, "op5_license_scan": OP5, "op8_quality_ledger": OP8}
+ORACLE_SQL = {"op1_near_duplicates": OP1, "op4_repeated_passages": OP4, "op5_license_scan": OP5, "op8_quality_ledger": OP8, "quality_ablations": ABLATIONS}

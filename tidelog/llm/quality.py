@@ -98,7 +98,8 @@ def ledger(docs: DataFrame) -> DataFrame:
     """One row for each row of `docs`: doc_id, the measurements, and `failures`, bit i set if rule i fails.
 
     Null and empty texts have no words (all measurements 0 but n_lines, which is 1) and fail few_words and no_words;
-    null doc_ids and repeated rows stay as they are; other columns are not read.
+    null doc_ids and repeated rows stay as they are; very long texts are measured whole; an empty table gives no rows;
+    other columns are not read.
     """
     small_batches(docs.sparkSession)
     rows = texts(docs)

@@ -66,7 +66,13 @@ def op8_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelog.llm.quality import apply_policy, ledger
 
     led = apply_policy(ledger(documents(spark, sf_dir)), "base").withColumn("base_failed", ~F.col("kept"))
-    return apply_policy(led, "v1").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return apply_policy(led, "v1").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failures")
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.quality import ablations, ledger
+
+    return ablations(ledger(documents(spark, sf_dir)), "v1")
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,5 +87,5 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_fingerprints, op3_personal_data, op4_repeated_passages, op5_license_scan, op6_token_counts, op7_toxicity, op8_quality_ledger, op9_best_fit_packing, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_fingerprints, op3_personal_data, op4_repeated_passages, op5_license_scan, op6_token_counts, op7_toxicity, op8_quality_ledger, op9_best_fit_packing, op10_source_mix, quality_ablations)}
 ORACLE_SQL: dict[str, str] = oracle.ORACLE_SQL

@@ -288,7 +288,7 @@ def drop_repeats(docs: DataFrame, width: int = WIDTH, keep_text: bool = True, ch
     copies = light.join(first, F.col("digest") == F.col("_d")).filter(F.coalesce("doc_id", F.lit(NO_ID)) > F.col("least"))
     copies = cut(copies.select(chunk_of.alias("chunk"), F.lit(-1).alias("row"), F.lit(0).alias("block"), F.coalesce("doc_id", F.lit(NO_ID)).alias("copy"), F.col("digest").cast("binary").alias("payload")))
 
-    dealt = rows.withColumn("chunk", chunk_of).repartition(tasks_for(spark), "chunk")
+    dealt = rows.withColumn("chunk", chunk_of).repartition(chunks, "chunk")  # about a chunk a task, however many there are
     partial = dealt.groupBy("chunk").cogroup(copies.groupBy("chunk")).applyInArrow(sketch(blocks, width), ddl(SKETCH))
     told = partial.groupBy("row", "block").applyInArrow(merge, ddl(SIDE))
     found = cut(dealt.groupBy("chunk").cogroup(copies.unionByName(told).groupBy("chunk")).applyInArrow(candidates(blocks, width, keep_text), ddl(FOUND)))

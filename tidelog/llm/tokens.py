@@ -4,14 +4,16 @@
 
 * A long text is cut into segments at safe boundaries: a single space between two characters that are no white
   space. The vocabulary's pattern lets a piece begin, never end, with one space, so no piece crosses such a place.
-* Inside a segment the same boundaries give chunks (a word with its marks and its leading space). Chunks are
-  remembered in a bounded table, so that each is encoded once per worker and not once per occurrence.
-* Chunks of characters below U+0250 go to the rank file of the same vocabulary, which is the faster of the two
-  libraries; all others, and any chunk that holds a special string, go to the library of the ``.json`` file.
+* Inside a segment the same boundaries give chunks (a word with its marks and its leading space). For counts, the
+  chunks of a batch that are new to the worker are encoded together, and their lengths are remembered in a bounded
+  table; so each is encoded once per worker and not once per occurrence.
+* For ids, chunks of characters below U+0250 go to the rank file of the same vocabulary, which is the faster of the
+  two libraries; all others, and any chunk that holds a special string, go to the library of the ``.json`` file.
 """
 
 from __future__ import annotations
 
+import os
 import re
 from array import array
 from collections.abc import Iterator
@@ -85,17 +87,57 @@ class Encoder(dict):
         return b"".join(out)
 
 
+class Lengths:
+    """Numbers of tokens of whole batches of texts.
+
+    A batch is cut into chunks at safe boundaries; the chunks that no batch before had are encoded in one call of the
+    library, and only their lengths are remembered.
+    """
+
+    def __init__(self, coder: Encoder):
+        self.coder, self.inner, self.heads = coder, {}, {}  # chunks behind a space, and chunks that begin a text
+
+    def learn(self, memory: dict[str, int], chunks: set[str], lead: str) -> None:
+        new = list(chunks)
+        made = self.coder.library.encode_batch_fast([lead + c for c in new], add_special_tokens=False)
+        memory.update(zip(new, map(len, made), strict=True))
+
+    def __call__(self, values: list[str]) -> list[int]:
+        if len(self.inner) + len(self.heads) > REMEMBERED:
+            self.inner, self.heads = {}, {}
+        cut = [[chunks for chunks in self.coder.segments(text)] if text else [] for text in values]
+        inner = {c for segments in cut for k, chunks in enumerate(segments) for c in (chunks if k else chunks[1:])}
+        self.learn(self.inner, inner - self.inner.keys(), " ")
+        self.learn(self.heads, {segments[0][0] for segments in cut if segments} - self.heads.keys(), "")
+        look, out = self.inner.__getitem__, []
+        for segments in cut:
+            n = self.heads[segments[0][0]] if segments else 0
+            for k, chunks in enumerate(segments):
+                n += sum(map(look, chunks if k else chunks[1:]))
+            out.append(n)
+        return out
+
+
 _ENCODERS: dict[tuple, Encoder] = {}
+_LENGTHS: dict[str, Lengths] = {}
 
 
 def encoder(vocabulary: str = VOCABULARY, ranks: str | None = RANKS) -> Encoder:
     """One for each Python worker."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one thread
     key = (vocabulary, ranks)
     if key not in _ENCODERS:
         _ENCODERS[key] = Encoder(vocabulary, ranks)
     return _ENCODERS[key]
 
 
+def lengths(vocabulary: str = VOCABULARY) -> Lengths:
+    """One for each Python worker."""
+    if vocabulary not in _LENGTHS:
+        _LENGTHS[vocabulary] = Lengths(encoder(vocabulary, None))
+    return _LENGTHS[vocabulary]
+
+
 def by_bytes(batch: pa.RecordBatch, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about `limit` bytes of text each, so that memory follows bytes and not rows."""
     lengths = pc.binary_length(batch.column("text")).to_pylist()
@@ -108,7 +150,7 @@ def by_bytes(batch: pa.RecordBatch, limit: int = BATCH_BYTES) -> Iterator[pa.Rec
     yield batch.slice(lo)
 
 
-def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, ranks: str | None = RANKS, limit: int = 1024) -> DataFrame:
+def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = 1024) -> DataFrame:
     """One row for each row of `docs`: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
     Null texts count as empty (0 bytes, 0 tokens); a null doc_id stays null; repeated rows each give a row; other
@@ -117,13 +159,11 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, ranks: str | Non
     small_batches(docs.sparkSession)
 
     def count(batches):
-        encode = encoder(vocabulary, ranks).encode
+        count_all = lengths(vocabulary)
         for whole in batches:
             for b in by_bytes(whole):
-                values = b.column("text").to_pylist()
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), pa.array([len(encode(x)) // 4 for x in values], pa.int64())], ["doc_id", "n_tokens"]
-                ).append_column("n_bytes", pc.binary_length(b.column("text").cast(pa.large_binary())).cast(pa.int64()))
+                n = pa.array(count_all(b.column("text").to_pylist()), pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), n], ["doc_id", "n_tokens"]).append_column("n_bytes", pc.binary_length(b.column("text").cast(pa.large_binary())).cast(pa.int64()))
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     out = rows.mapInArrow(count, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, n_bytes long")
