@@ -52,9 +52,13 @@ def expire(leases: DataFrame, now_ms: int, most: int = MOST_DELIVERIES) -> DataF
 
 
 def dead_letters(ranges: DataFrame, records: DataFrame) -> DataFrame:
-    """Records of archived ranges, for the topic "<topic>-dlq": key, null value and place of origin are kept."""
-    gone = ranges.filter("state = 'Archived'").withColumn("log_offset", F.explode(F.sequence("first_offset", "last_offset"))).select(*TP, "log_offset", "delivery_count")
-    x = records.join(gone, [*TP, "log_offset"])
+    """Records of archived ranges, for the topic "<topic>-dlq": key, null value and place of origin are kept.
+
+    Ranges and records meet by cells of offsets.
+    """
+    cells = F.explode(F.sequence(F.floor(F.col("first_offset") / SPAN), F.floor(F.col("last_offset") / SPAN)))
+    gone = ranges.filter("state = 'Archived'").select(*TP, "first_offset", "last_offset", "delivery_count", cells.alias("_cell"))
+    x = records.withColumn("_cell", F.floor(F.col("log_offset") / SPAN)).join(gone, [*TP, "_cell"]).filter(F.col("log_offset").between(F.col("first_offset"), F.col("last_offset")))
     return x.select(F.concat("topic", F.lit("-dlq")).alias("dlq_topic"), "topic", "partition", "log_offset", "key", "value", "delivery_count")
 
 
