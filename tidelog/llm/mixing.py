@@ -103,19 +103,25 @@ def drawn(sources: DataFrame, n: int, seed: int) -> DataFrame:
     return located(slots, "_draw", sources.select("number", "_from", "_count")).select("slot", "number")
 
 
-def corrected(slots: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
-    """(slot, number, k): k counts each source's slots from 0 to its n_slots - 1; surplus slots go to sources that lack some."""
+def corrected(slots: DataFrame, sources: DataFrame, seed: int, *more: str) -> DataFrame:
+    """(slot, number, k, more columns of the sources): k counts each source's slots from 0 to its n_slots - 1; surplus
+    slots go to sources that lack some.
+
+    Few sources may hold all slots, so each source meets its slots in several places: as many copies of the sources as
+    there are tasks, but no more rows than a part of the slots.
+    """
     slots = cut(ranked(slots, ["number"], F.col("slot"), "k", seed))
+    salts = max(1, min(tasks_for(slots.sparkSession), slots.count() // (64 * (1 + sources.count()))))
     got = slots.groupBy(F.col("number").alias("_n")).agg(F.count(F.lit(1)).alias("_drawn"))
     x = sources.join(got, F.col("number") == F.col("_n"), "left").drop("_n").withColumn("_drawn", F.coalesce("_drawn", F.lit(0)))
     x = x.withColumn("_more", F.greatest(F.col("_drawn") - F.col("n_slots"), F.lit(0))).withColumn("_less", F.greatest(F.col("n_slots") - F.col("_drawn"), F.lit(0)))
     x = cut(total_before(total_before(x, "_more", "_more_from", "number"), "_less", "_less_from", "number"))
-    own = x.select(F.col("number").alias("_n"), "n_slots", "_more_from")
-    slots = slots.join(own.hint("merge"), F.col("number") == F.col("_n"))
-    kept = slots.filter(F.col("k") < F.col("n_slots")).select("slot", "number", "k")
+    own = x.select(F.col("number").alias("_n"), "n_slots", "_more_from", *more, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    slots = slots.withColumn("_s", F.pmod("slot", F.lit(salts))).join(own.hint("merge"), (F.col("number") == F.col("_n")) & (F.col("_s") == F.col("_salt")))
+    kept = slots.filter(F.col("k") < F.col("n_slots")).select("slot", "number", "k", *more)
     loose = slots.filter(F.col("k") >= F.col("n_slots")).select("slot", (F.col("_more_from") + F.col("k") - F.col("n_slots")).alias("_i"))
-    moved = located(loose, "_i", x.select("number", "_drawn", F.col("_less_from").alias("_from"), F.col("_less").alias("_count")))
-    return kept.unionByName(moved.select("slot", "number", (F.col("_drawn") + F.col("_i") - F.col("_from")).alias("k")))
+    moved = located(loose, "_i", x.select("number", "_drawn", F.col("_less_from").alias("_from"), F.col("_less").alias("_count"), *more))
+    return kept.unionByName(moved.select("slot", "number", (F.col("_drawn") + F.col("_i") - F.col("_from")).alias("k"), *more))
 
 
 def plan(laid: DataFrame, block: int = BLOCK, seed: int = 0, weights=WEIGHTS, most: int = MOST) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -129,9 +135,7 @@ def plan(laid: DataFrame, block: int = BLOCK, seed: int = 0, weights=WEIGHTS, mo
     share = share.withColumn("n_slots", F.when(F.col("source_size") > 0, F.least(slots, most * F.col("n_blocks"))).otherwise(F.lit(0)))
     share = cut(total_before(share.withColumn("_count", F.col("n_slots")), "_count", "_from", "number"))
     n = share.agg(F.coalesce(F.sum("n_slots"), F.lit(0))).first()[0]
-    filled = corrected(drawn(share, n, seed), share.drop("_count", "_from"), seed + 1)
-    about = share.select(F.col("number").alias("_n"), "n_blocks", "first_block")
-    filled = filled.join(about.hint("merge"), F.col("number") == F.col("_n"))
+    filled = corrected(drawn(share, n, seed), share.drop("_count", "_from"), seed + 1, "n_blocks", "first_block")
     index = permuted(F.pmod("k", F.col("n_blocks")), F.col("n_blocks"), F.col("number"), seed=seed + 2)
     filled = filled.select("slot", F.floor(F.col("slot") / SHARD).alias("shard"), (F.col("first_block") + index).alias("block"))
     return share.select("source", "source_size", "weight", "target"), strips.select("source", "strip", "start"), filled
