@@ -188,7 +188,7 @@ LEFT JOIN (SELECT user_id, max({MS.format(x="ts")}) AS at_ms FROM events WHERE e
     "log_append_markers": """SELECT t.topic, t.partition, leo + row_number() OVER (PARTITION BY t.topic, t.partition ORDER BY txn_seq) - 1 AS log_offset, txn_seq, CASE status WHEN 'Committed' THEN 'commit' ELSE 'abort' END AS marker
 FROM vtxn t JOIN vends d ON t.topic = d.topic AND t.partition = d.partition WHERE status IN ('Committed', 'Aborted')""",
     "log_poll_fairly": "SELECT topic, partition, log_offset FROM vlog ORDER BY log_offset, topic, partition LIMIT 40",
-    "log_oversized_batches": "SELECT topic, partition, batch_no, size_bytes FROM vbatch WHERE size_bytes > 315",
+    "log_oversized_batches": "SELECT topic, partition, batch_no, size_bytes FROM vbatch WHERE size_bytes > 240",
     "log_partition_bytes": "SELECT topic, partition, cast(sum(encoded_size) AS bigint) AS size_bytes, max(ts_ms) AS newest_ms FROM vseg GROUP BY topic, partition",
     "replica_undiscovered_peers": "SELECT n_nationkey AS node, n_name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 9 = 0)",
     "replica_full_ack": "SELECT topic, partition, bool_and((partition + node) % 5 <> 4 AND leo - 1 - (partition * 3 + node) % 5 >= leo - 4) AS acked FROM vends, (SELECT unnest([1, 2, 3]) AS node) n GROUP BY topic, partition",

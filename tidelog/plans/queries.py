@@ -17,7 +17,7 @@ from tidelog.sources.virtual_log import div, millis
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 RECORD = [*TP, "log_offset", "ts_ms", "key", "value"]
 NOW, DAY = 1706659200000, 86_400_000  # the end of the events' month
-OVERSIZED = 315
+OVERSIZED = 240
 
 
 def query(f):
