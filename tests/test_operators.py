@@ -1,6 +1,7 @@
 """Cases worked out by hand, models in plain Python, and layouts."""
 
 import random
+import re
 import struct
 import zlib
 from collections import defaultdict
@@ -194,6 +195,16 @@ def test_deny_wins(spark):
     assert catalog.list_rules(rules, principal="User:a", host=None).count() == 1
 
 
+def test_each_request_gets_the_answer_of_its_fields(spark):
+    asked = [(1, "a", None, "Read", "Topic", "x"), (1, "a", "h", "Read", "Topic", "y"), (None, "a", "h", "Read", "Topic", "x"), (2, None, "h", "Read", "Topic", "x"), (3, "a", "h", "Read", "Topic", None)]
+    req = spark.createDataFrame(asked, "request_id long, principal string, host string, operation string, resource_type string, resource string")
+    rules = spark.createDataFrame([("*", "*", "All", "Topic", "x", "literal", "Allow"), ("a", "h", "Read", "Topic", "y", "literal", "Deny")], "principal string, host string, operation string, resource_type string, resource string, pattern string, permission string")
+    got = catalog.authorize(req, rules)
+    assert {tuple(x)[:6]: x.allowed for x in got.collect()} == dict(zip(asked, [True, False, True, True, False], strict=True))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Aggregate \[request_id", plan)  # a group a request is as large as the input
+
+
 def test_watermarks_votes_and_failover(spark):
     parts = spark.createDataFrame([("t", 0, 10, 2), ("t", 1, 10, 1)], "topic string, partition long, leo long, min_isr long")
     reps = spark.createDataFrame([("t", 0, 9), ("t", 0, 6), ("t", 1, 0)], "topic string, partition long, watermark long")

@@ -65,7 +65,8 @@ def authorize(requests: DataFrame, rules: DataFrame) -> DataFrame:
     Rules (principal, host, operation, resource_type, resource, pattern, permission) meet requests by equality: a literal
     one by its resource, any other by its head, the text before its first star (a prefix rule: all of it), which has to
     begin the resource. There are at most as many lengths of heads as a name may have characters, and only those come
-    to the driver. Heads of no length meet all requests of their type, as they have to.
+    to the driver. Heads of no length meet all requests of their type, as they have to. The answer depends on the fields
+    alone, so rules meet each distinct combination once and requests look theirs up: no step keeps a group a request.
     """
     r = rules.select(*[F.col(c).alias(f"_{c}") for c in rules.columns])
     exact = (F.col("_pattern") == "literal") & (F.col("_resource") != "*")
@@ -76,11 +77,14 @@ def authorize(requests: DataFrame, rules: DataFrame) -> DataFrame:
     fits = F.when(F.col("_pattern") == "prefix", F.startswith("resource", "_resource")).when(F.col("_pattern") == "glob", glob_match("_resource", "resource")).otherwise(F.lit(True))
     part = lambda text, is_exact: F.struct(text.alias("head"), F.lit(is_exact).alias("exact"))
     heads = [part(F.col("resource"), True), *[part(F.substring("resource", 1, n), False) for n in lengths]]
-    asked = requests.withColumn("_h", F.explode(F.array_distinct(F.array(*heads))))
+    fields = ["principal", "host", "operation", "resource_type", "resource"]
+    distinct = requests.select(*fields).distinct()
+    asked = distinct.withColumn("_h", F.explode(F.array_distinct(F.array(*heads))))
     on = (F.col("resource_type") == F.col("_resource_type")) & (F.col("_h.head") == F.col("_head")) & (F.col("_h.exact") == F.col("_exact")) & who & fits
-    found = asked.join(r, on).groupBy("request_id").agg(F.max(F.col("_permission") == "Deny").alias("denied"), F.max(F.col("_permission") == "Allow").alias("granted"))
-    x = requests.join(found, "request_id", "left")
-    return x.withColumn("allowed", F.coalesce(F.col("granted") & ~F.col("denied"), F.lit(False))).drop("denied", "granted")
+    found = asked.join(r, on).groupBy(*fields).agg(F.max(F.col("_permission") == "Deny").alias("denied"), F.max(F.col("_permission") == "Allow").alias("granted"))
+    granted = found.filter("granted and not denied").select(*[F.col(c).alias(f"_{c}") for c in fields], F.lit(True).alias("_yes"))
+    x = requests.join(granted, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in fields], "left")
+    return x.select(*requests.columns, F.coalesce("_yes", F.lit(False)).alias("allowed"))
 
 
 def list_rules(rules: DataFrame, **wanted: str | None) -> DataFrame:
