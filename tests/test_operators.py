@@ -161,6 +161,22 @@ def test_segment_layout_and_codecs(spark, tmp_path):
     assert got == [("my-topic", 3, 7, False, b"k"), ("my-topic", 3, 8, False, None), ("my-topic", 3, 12, False, b""), ("my-topic", 3, 13, True, None)]
 
 
+def test_batches_span_arrow_batches_and_no_task_holds_all(spark):
+    rows = [("t", p, o, 1000 - o, None if o % 7 == 0 else f"k{o}", None if o % 5 == 0 else "" if o % 5 == 1 else "v" * (o % 50)) for p in (0, 1) for o in range(0, 300, 3)]
+    df = spark.createDataFrame(rows, "topic string, partition long, log_offset long, ts_ms long, key string, value string").repartition(3)
+    for records in ("7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
+        try:
+            done = segment.encode_batches(df, 20, "zstd")
+            got = segment.decode_batches(done)
+            assert sorted((x.topic, x.partition, x.log_offset, x.ts_ms, x.key and x.key.decode(), None if x.value is None else x.value.decode()) for x in got.collect()) == sorted(rows)
+            bases = sorted((x.partition, x.batch_base_offset, x.batch_last_offset) for x in got.select("partition", "batch_base_offset", "batch_last_offset").distinct().collect())
+            assert bases == [(p, min(b), max(b)) for p in (0, 1) for n in range(15) for b in [[o for o in range(0, 300, 3) if o // 20 == n]]]
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "collect_list" not in done._jdf.queryExecution().optimizedPlan().toString()  # a row of all records of a batch: 10,000 of them make an Arrow batch
+
+
 def test_segments_roll_and_expire(spark):
     rows = [(o, "k", "x" * 26, o) for o in range(10)]
     df = records(spark, rows)

@@ -148,29 +148,51 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
     return x.select("path", "content", (F.col("path") == F.col("_last")).alias("active")).mapInPandas(rows, RECORD)
 
 
+def _arrow(rows: list[tuple], schema: str):
+    import pyarrow as pa
+
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+    names, types = zip(*[c.split() for c in schema.split(", ")], strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=list(names))
+
+
 def encode_batches(records: DataFrame, of: int = 1000, codec: str = "zstd") -> DataFrame:
-    """(topic, partition, base_offset, batch): records in batches of `of` offsets, encoded where they lie."""
+    """(topic, partition, base_offset, batch): records in batches of `of` offsets.
+
+    Records reach a task in the order of batches and offsets; it holds one Arrow batch of them and what has come of one
+    log batch, however many log batches it gets.
+    """
+    schema = "topic string, partition long, base_offset long, batch binary"
 
     def rows(frames):
+        at, held = [], []
         for f in frames:
-            yield pd.DataFrame({"topic": f.topic, "partition": f.partition, "base_offset": f.base_offset, "batch": [encode([(r["log_offset"], r["ts_ms"], r["key"], r["value"]) for r in rs], codec) for rs in f.records]})
+            for *to, o, t, k, v in zip(*[c.to_pylist() for c in f.columns], strict=True):
+                if held and to != at:
+                    yield _arrow([(*at[:2], held[0][0], encode(held, codec))], schema)
+                    held = []
+                at = to
+                held.append((o, t, k, v))
+        if held:
+            yield _arrow([(*at[:2], held[0][0], encode(held, codec))], schema)
 
-    binary = [F.col(c).cast("binary").alias(c) for c in ("key", "value")]
-    x = records.select("topic", F.col("partition").cast("long").alias("partition"), "log_offset", "ts_ms", *binary)
-    x = x.groupBy("topic", "partition", F.floor(F.col("log_offset") / of).alias("_b")).agg(F.array_sort(F.collect_list(F.struct("log_offset", "ts_ms", "key", "value"))).alias("records"))
-    x = x.select("topic", "partition", F.col("records")[0]["log_offset"].alias("base_offset"), "records")
-    return x.mapInPandas(rows, "topic string, partition long, base_offset long, batch binary")
+    key, value = (F.col(c).cast("binary").alias(c) for c in ("key", "value"))
+    by = ["topic", "partition", "_batch"]
+    x = records.select("topic", F.col("partition").cast("long").alias("partition"), F.floor(F.col("log_offset") / of).alias("_batch"), "log_offset", F.col("ts_ms").cast("long").alias("ts_ms"), key, value)
+    return x.repartition(*by).sortWithinPartitions(*by, "log_offset", "ts_ms", "key", "value").mapInArrow(rows, schema)
 
 
 def decode_batches(batches: DataFrame) -> DataFrame:
-    """The records of encoded batches (topic, partition, batch)."""
-    columns = [c.split()[0] for c in RECORD.split(", ")]
+    """The records of encoded batches (topic, partition, batch), one batch after the other."""
+    rest = [c.split()[0] for c in RECORD.split(", ")][6:]
 
     def rows(frames):
         for f in frames:
-            for topic, partition, data in zip(f.topic, f.partition, f.batch, strict=True):
-                b, _ = decode(bytes(data))
-                head = {k: v for k, v in b.items() if k != "records"}
-                yield pd.DataFrame([{"topic": topic, "partition": partition, "log_offset": o, "ts_ms": t, "key": k, "value": v, **head} for o, t, k, v in b["records"]], columns=columns)
-
-    return batches.select("topic", "partition", "batch").mapInPandas(rows, RECORD)
+            for i in range(f.num_rows):
+                topic, partition, data = (c[i].as_py() for c in f.columns)
+                b, _ = decode(data)
+                if b["records"]:
+                    head = [b[c] for c in rest]
+                    yield _arrow([(topic, partition, *r, *head) for r in b["records"]], RECORD)
+
+    return batches.select("topic", F.col("partition").cast("long").alias("partition"), "batch").mapInArrow(rows, RECORD)
