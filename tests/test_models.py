@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelog.functions import values
-from tidelog.operators import catalog, groups, log, metrics, producer, retention, share
+from tidelog.operators import catalog, groups, log, metrics, producer, ranking, retention, share
 from tidelog.sources import segment
 
 TP = "topic string, partition long, "
@@ -110,6 +110,24 @@ def test_segments_roll_like_the_loop(spark):
         assert got == rolled(rows, most, ms)
 
 
+def test_paths_are_followed_run_by_run(spark, monkeypatch):
+    r = random.Random(11)
+    links = [("t", p, o * 3, min(o + r.choice([1, 1, 2, 9]), 199) * 3 if o < 199 and r.random() < 0.999 else None, o == 5) for p in (0, 1) for o in range(200)]
+    want = set()
+    for p in (0, 1):
+        to, at = {x[2]: x[3] for x in links if x[1] == p}, 15
+        while at is not None:
+            want.add((p, at))
+            at = to[at]
+    df = spark.createDataFrame(links, TP + "log_offset long, _next long, _first boolean")
+    cuts = []
+    monkeypatch.setattr(ranking, "cut", lambda d, f=ranking.cut: cuts.append(1) or f(d))
+    for width, most in ((16, 40), (1000, 5)):  # before: 3 + 2 for each doubling of the path, all rows in each
+        cuts.clear()
+        got = ranking.reached(df, ["topic", "partition"], "log_offset", "_next", "_first", width)
+        assert {(x.partition, x.log_offset) for x in got.collect()} == want and len(cuts) <= most
+
+
 def test_index_entries_come_by_bytes(spark):
     r = random.Random(6)
     rows = [("t", p, o * 5, r.choice([10, 70, 500])) for p in (0, 1) for o in range(100)]

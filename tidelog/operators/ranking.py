@@ -92,20 +92,77 @@ def ceiling_join(left: DataFrame, right: DataFrame, keys: list[str], left_on: st
     return floor_join(l, r, keys, "_want", "_have", payload, width).drop("_want")
 
 
-def reached(links: DataFrame, keys: list[str], at: str, to: str, start: str) -> DataFrame:
-    """(keys, at) of the rows on the paths that lead from rows with `start` along to -> at; `to` is null at an end.
+def _within(links):
+    """A run's rows sorted, their _at, and the place of each one's next row (its own where that lies in no row of the run)."""
+    import numpy as np
+
+    links = links.sort_by("_at")
+    at, there, to = links["_at"].to_numpy(), links["_to"].is_valid().to_numpy(), links["_to"].fill_null(0).to_numpy()
+    place = np.minimum(np.searchsorted(at, to), len(at) - 1)
+    return links, at, np.where(there & (at[place] == to), place, np.arange(len(at)))
+
+
+def _exits(keys: list[str]):
+    def run(links, entries):
+        import numpy as np
+
+        if not entries.num_rows:  # a side without rows has no columns either
+            return links.select([*keys, "_at", "_to"]).slice(0, 0)
+        links, at, nxt = _within(links)
+        while not np.array_equal(nxt, far := nxt[nxt]):
+            nxt = far
+        own = np.searchsorted(at, entries["_at"].to_numpy())
+        return links.select([*keys, "_at"]).take(own).append_column("_to", links["_to"].take(nxt[own]))
+
+    return run
+
+
+def _walked(keys: list[str]):
+    def run(links, entries):
+        import numpy as np
+
+        if not entries.num_rows:
+            return links.select([*keys, "_at"]).slice(0, 0)
+        links, at, nxt = _within(links)
+        on = np.zeros(len(at), bool)
+        for k in np.searchsorted(at, entries["_at"].to_numpy()).tolist():
+            while not on[k]:
+                on[k], k = True, nxt[k]
+        return links.select([*keys, "_at"]).take(np.flatnonzero(on))
+
+    return run
+
+
+def reached(links: DataFrame, keys: list[str], at: str, to: str, start: str, width: int = WIDTH) -> DataFrame:
+    """(keys, at) of the rows on the paths that lead from rows with `start` along to -> at; `at` is distinct within keys,
+    `to` is that of a later row, null at an end.
 
     Where each step depends on the one before, as in rolling a log, every row's next one is found first, by as-of joins
-    over all rows; the path is then followed by doubling: in round k all rows within 2 to the k steps are known.
+    over all rows. Rows are dealt by runs of `at`. In each, the rows that a path may enter it by learn where it leaves the
+    run; these steps of a run are followed by doubling: in round k all entries within 2 to the k steps are known. Then
+    each run is walked from its entries. So all rows are read three times, however long the path is.
     """
-    by = [*keys, "_at"]
-    jump = cut(links.filter(F.col(to).isNotNull()).select(*keys, F.col(at).alias("_at"), F.col(to).alias("_to")))
-    found = cut(links.filter(start).select(*keys, F.col(at).alias("_at")))
+    kind = links.schema[at].dataType
+    whole = lambda c: F.col(c).cast("long")
+    x = links.select(*keys, whole(at).alias("_at"), F.when(F.col(to) > F.col(at), whole(to)).alias("_to"), F.expr(start).alias("_start"))
+    x = cut(x.withColumn("_run", _run("_at", width)))
+    first = x.filter("_start").select(*keys, "_at")
+    entries = cut(x.filter(F.col("_run") != _run("_to", width)).select(*keys, F.col("_to").alias("_at")).union(first).distinct())
+
+    by, rows = [*keys, "_run"], x.drop("_start")
+
+    def each(f, some, *more):
+        some = some.select(*[F.col(c).alias(c) for c in (*keys, "_at")], _run("_at", width).alias("_run"))  # not the columns of rows
+        met = rows.groupBy(*by).cogroup(some.groupBy(*by))
+        return met.applyInArrow(f(keys), x.select(*keys, "_at", *more).schema)
+
+    jump = cut(each(_exits, entries, "_to").filter("_to is not null"))
+    found = cut(first)
     n = found.count()
     while True:
-        found = cut(found.unionByName(found.join(jump, by).select(*keys, F.col("_to").alias("_at"))).distinct())
+        found = cut(found.unionByName(found.join(jump, [*keys, "_at"]).select(*keys, F.col("_to").alias("_at"))).distinct())
         seen, n = n, found.count()
         if seen == n:
-            return found.withColumnRenamed("_at", at)
+            return each(_walked, found).select(*keys, F.col("_at").cast(kind).alias(at))
         onward = jump.select(*keys, F.col("_at").alias("_to"), F.col("_to").alias("_far"))
-        jump = cut(jump.join(onward, [*keys, "_to"]).select(*by, F.col("_far").alias("_to")))
+        jump = cut(jump.join(onward, [*keys, "_to"]).select(*keys, "_at", F.col("_far").alias("_to")))
