@@ -128,6 +128,15 @@ def test_paths_are_followed_run_by_run(spark, monkeypatch):
         assert {(x.partition, x.log_offset) for x in got.collect()} == want and len(cuts) <= most
 
 
+def test_times_that_stand_still_are_looked_up_once(spark, monkeypatch):
+    rows = [("t", p, o, 10, 1000 * min(o, 20)) for p in (0, 1) for o in range(120)]
+    df = spark.createDataFrame(rows, TP + "log_offset long, encoded_size long, ts_ms long")
+    asked = []
+    monkeypatch.setattr(retention, "ceiling_join", lambda left, *a, f=retention.ceiling_join: asked.append((left.count(), a[2])) or f(left, *a))
+    got = {(x.topic, x.partition, x.segment_base): x.n_records for x in retention.roll_segments(df, 300, 7000).collect()}
+    assert got == rolled(rows, 300, 7000) and dict((on, n) for n, on in asked)["_old"] == 42  # the rises: before, 240 rows in one run of time
+
+
 def test_index_entries_come_by_bytes(spark):
     r = random.Random(6)
     rows = [("t", p, o * 5, r.choice([10, 70, 500])) for p in (0, 1) for o in range(100)]

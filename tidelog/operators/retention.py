@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidelog.operators.log import TP
 from tidelog.operators.ranking import WIDTH, ceiling_join, floor_join, reached, running_max, running_sum
+from tidelog.sources.shared import cut
 
 
 def segment_table(records: DataFrame) -> DataFrame:
@@ -59,16 +60,19 @@ def roll_segments(records: DataFrame, max_bytes: int, segment_ms: int | None = N
     Where a segment begins depends on where the one before began. For every record the one that would begin the next
     segment is looked up along the sums of sizes and the latest times; the path of those is the segments.
     """
-    x = running_sum(records.select(*TP, "log_offset", "encoded_size", "ts_ms"), TP, "log_offset", "encoded_size", "_upto")
-    x = x.withColumn("_full", F.greatest(F.col("_upto") - F.col("encoded_size") + F.lit(max_bytes), F.col("_upto")) + 1)
-    x = ceiling_join(x, x.select(*TP, "_upto", F.col("log_offset").alias("_by_size")), TP, "_full", "_upto", ["_by_size"], WIDTH * 64)
+    x = running_sum(cut(records.select(*TP, "log_offset", "encoded_size", "ts_ms")), TP, "log_offset", "encoded_size", "_upto")
+    if segment_ms is not None:
+        x = running_max(x, TP, "log_offset", "ts_ms", "_now")
+    rows = cut(x)  # read again by each lookup
+    x = rows.withColumn("_full", F.greatest(F.col("_upto") - F.col("encoded_size") + F.lit(max_bytes), F.col("_upto")) + 1)
+    x = ceiling_join(x, rows.select(*TP, "_upto", F.col("log_offset").alias("_by_size")), TP, "_full", "_upto", ["_by_size"], WIDTH * 64)
     if segment_ms is None:
         x = x.withColumn("_next", F.col("_by_size"))
-    else:
-        x = running_max(x, TP, "log_offset", "ts_ms", "_now").withColumn("_old", F.col("_now") + F.lit(segment_ms))
-        rises = x.groupBy(*TP, "_now").agg(F.min("log_offset").alias("_by_time"))
-        x = ceiling_join(x, rises, TP, "_old", "_now", ["_by_time"], WIDTH * 64)
+    else:  # looked up once a rise and passed on by offset: any number of rows may share a latest time
+        rises = cut(rows.groupBy(*TP, "_now").agg(F.min("log_offset").alias("_rise"))).withColumn("_old", F.col("_now") + F.lit(segment_ms))
+        rises = ceiling_join(rises, rises.select(*TP, "_now", F.col("_rise").alias("_by_time")), TP, "_old", "_now", ["_by_time"], WIDTH * 64)
+        x = floor_join(cut(x), rises, TP, "log_offset", "_rise", ["_by_time"])
         x = x.withColumn("_next", F.least("_by_size", "_by_time"))
     x = x.withColumn("_first", F.col("_upto") == F.col("encoded_size"))
     bases = reached(x.select(*TP, "log_offset", "_next", "_first"), TP, "log_offset", "_next", "_first").withColumnRenamed("log_offset", "segment_base")
-    return floor_join(x.select(*TP, "log_offset", "encoded_size"), bases, TP, "log_offset", "segment_base", ["segment_base"]).groupBy(*TP, "segment_base").agg(F.count(F.lit(1)).alias("n_records"), F.sum("encoded_size").alias("size_bytes"))
+    return floor_join(rows.select(*TP, "log_offset", "encoded_size"), cut(bases), TP, "log_offset", "segment_base", ["segment_base"]).groupBy(*TP, "segment_base").agg(F.count(F.lit(1)).alias("n_records"), F.sum("encoded_size").alias("size_bytes"))
