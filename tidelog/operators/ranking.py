@@ -140,7 +140,8 @@ def reached(links: DataFrame, keys: list[str], at: str, to: str, start: str, wid
     Where each step depends on the one before, as in rolling a log, every row's next one is found first, by as-of joins
     over all rows. Rows are dealt by runs of `at`. In each, the rows that a path may enter it by learn where it leaves the
     run; these steps of a run are followed by doubling: in round k all entries within 2 to the k steps are known. Then
-    each run is walked from its entries. So all rows are read three times, however long the path is.
+    each run is walked from its entries. Entries are few where steps are much shorter than a run; where steps are longer,
+    they may be as many as the rows, but then paths are short and rounds as few as the logarithm of the runs.
     """
     kind = links.schema[at].dataType
     whole = lambda c: F.col(c).cast("long")
